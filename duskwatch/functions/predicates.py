@@ -66,9 +66,11 @@ def java_regex(pattern: str) -> str:
             i += 1
             continue
         i += 2 if ch == "\\" else 1
-    text = "(?d)" + "".join(out)
-    re.compile(pattern.replace(r"\z", r"\Z"))
-    return text
+    try:
+        re.compile(pattern.replace(r"\z", r"\Z"))
+    except re.error as error:
+        raise ValueError(f"invalid regex {pattern!r}: {error}") from error
+    return "(?d)" + "".join(out)
 
 
 def _as_text(value: Any) -> str:
