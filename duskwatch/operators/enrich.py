@@ -26,7 +26,8 @@ def lifecycle(df: DataFrame) -> DataFrame:
         F.coalesce("process.start_time_ns", F.lit(0)).alias("start"),
     )
     return df.filter(F.col("action").isin(*LIFECYCLE)).select(
-        "host", F.coalesce("process.pid", F.lit(0)).alias("_pid"), "ts", "seq", entry.alias("_entry"))
+        F.coalesce("host", F.lit("")).alias("_host"), F.coalesce("process.pid", F.lit(0)).alias("_pid"),
+        "ts", "seq", entry.alias("_entry"))
 
 
 def process_as_of(probes: DataFrame, updates: DataFrame, out: str, bucket: timedelta = BUCKET) -> DataFrame:
@@ -36,11 +37,11 @@ def process_as_of(probes: DataFrame, updates: DataFrame, out: str, bucket: timed
     """
     payload = F.struct(*[F.col(c) for c in probes.columns])
     both = (
-        probes.select("host", "_pid", "ts", "seq", F.lit(1).alias("_turn"),
+        probes.select(F.coalesce("host", F.lit("")).alias("_host"), "_pid", "ts", "seq", F.lit(1).alias("_turn"),
                       F.lit(None).cast(updates.schema["_entry"].dataType).alias("_entry"), payload.alias("_row"))
         .unionByName(updates.withColumns({"_turn": F.lit(0), "_row": F.lit(None)}))
     )
-    found = nearest(both, ["host", "_pid"], ["ts", "seq", "_turn"], F.col("_entry"), "_hit",
+    found = nearest(both, ["_host", "_pid"], ["ts", "seq", "_turn"], F.col("_entry"), "_hit",
                     time_bucket(bucket))
     live = F.when(F.col("_hit.alive"), F.col("_hit"))
     return found.filter("_row is not null").select("_row.*", live.alias(out))
