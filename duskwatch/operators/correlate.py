@@ -79,16 +79,19 @@ def correlate(alerts: DataFrame, window: timedelta = WINDOW, threshold: int = TH
     """One incident per (host, process) session, as of the event that crosses the threshold."""
     keys = ["host", "process_key"]
     events = sessions(risk_events(alerts), keys, window, bucket)
-    crossing = (events.filter((F.col("run") >= threshold) & (F.col("run") - F.col("risk") < threshold))
-                .select(*keys, "session", F.struct("us", "seq").alias("at"), "run", "name", "pid"))
-    # First sighting of each rule in a session: at most one row per rule.
-    first = (events.withColumn("f", F.explode("fired"))
-             .groupBy(*keys, "session", F.col("f.rule_id").alias("rule_id"),
-                      F.col("f.technique_id").alias("technique_id"))
-             .agg(F.min(F.struct("us", "seq", F.col("f.ord").alias("ord"))).alias("seen"))
-             .groupBy(*keys, "session")
-             .agg(F.array_sort(F.collect_list(F.struct("seen", "rule_id", "technique_id"))).alias("seen")))
-    joined = crossing.join(first, [*keys, "session"])
+    crossed = (F.col("run") >= threshold) & (F.col("run") - F.col("risk") < threshold)
+    at = F.when(crossed, F.struct("us", "seq", "run", "name", "pid"))
+    # First sighting of each rule in a session: at most one row per rule, so both
+    # aggregations combine map-side and the collected list is bounded by the rule table.
+    joined = (events.select(*keys, "session", "us", "seq", at.alias("at"), F.explode("fired").alias("f"))
+              .groupBy(*keys, "session", F.col("f.rule_id").alias("rule_id"),
+                       F.col("f.technique_id").alias("technique_id"))
+              .agg(F.min(F.struct("us", "seq", F.col("f.ord").alias("ord"))).alias("seen"), F.min("at").alias("at"))
+              .groupBy(*keys, "session")
+              .agg(F.min("at").alias("at"),
+                   F.array_sort(F.collect_list(F.struct("seen", "rule_id", "technique_id"))).alias("seen"))
+              .filter("at is not null")
+              .select(*keys, "session", "seen", "at", "at.run", "at.name", "at.pid"))
     upto = F.filter("seen", lambda s: F.struct(s["seen"]["us"], s["seen"]["seq"]) <= F.struct("at.us", "at.seq"))
     techniques = F.array_sort(F.array_distinct(F.filter(
         F.transform(upto, lambda s: s["technique_id"]), lambda t: F.coalesce(t, F.lit("")) != "")))
