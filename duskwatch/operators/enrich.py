@@ -165,10 +165,9 @@ def tactic_index(rules: DataFrame) -> DataFrame:
             .agg(F.max_by("technique.tactic", "ord").alias("tactic")))
 
 
-def resolve_evidence(cases: DataFrame, alerts: DataFrame) -> DataFrame:
-    """One row per evidence id of a case that is a known alert, in evidence order."""
-    listed = cases.select("case_id", F.posexplode("evidence").alias("position", "id"))
-    return listed.join(alerts, "id")
+def resolve_evidence(evidence: DataFrame, alerts: DataFrame) -> DataFrame:
+    """Evidence rows (case_id, ord, id) that name a known alert, with its record; ``ord`` keeps the order."""
+    return evidence.select("case_id", "ord", "id").join(alerts, "id")
 
 
 def suppress(df: DataFrame, allow: DataFrame) -> DataFrame:

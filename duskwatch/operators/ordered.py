@@ -74,3 +74,17 @@ def oldest_first(df: DataFrame, limit: int | None = None, ts: str = "ts", seq: s
 def recent_history(df: DataFrame, keep: int, ts: str = "ts", seq: str = "seq") -> DataFrame:
     """The newest ``keep`` rows, oldest of them first."""
     return oldest_first(newest_first(df, keep, ts, seq), None, ts, seq)
+
+
+def number_rows(df: DataFrame, order: list[str], bucket: Column, out: str = "number") -> DataFrame:
+    """Global 1-based row numbers: numbered per bucket, offset by the counts before it.
+
+    ``bucket`` must be non-decreasing in ``order``.  Only the per-bucket counts (one row
+    per bucket) meet in a single window.
+    """
+    rows = df.withColumn("_b", bucket)
+    local = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_b").orderBy(*order)))
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (rows.groupBy("_b").count()
+               .select("_b", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_offset")))
+    return local.join(offsets, "_b").withColumn(out, F.col("_n") + F.col("_offset")).drop("_b", "_n", "_offset")
