@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fields import process_key
 from ..schema import micros
-from .detect import alert_risk
+from .detect import alert_risk, matched_rules
 from .ordered import BUCKET, width_us
 
 WINDOW, THRESHOLD = timedelta(seconds=30), 75
@@ -32,6 +32,28 @@ def risk_events(alerts: DataFrame) -> DataFrame:
                  F.array_sort(F.collect_list(fired)).alias("fired")))
 
 
+def fired_events(df: DataFrame, rules: list[dict]) -> DataFrame:
+    """``risk_events`` of the rule alerts of ``df`` without forming alert rows: no shuffle.
+
+    Also works on a stream.
+    """
+    numbers = F.array_compact(matched_rules(rules)) if rules else F.array().cast("array<int>")
+    default = {"low": 10, "medium": 25, "high": 50, "critical": 80}
+    facts = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(r["id"]).alias("rule_id"),
+                               F.lit(r["technique"]["id"]).alias("technique_id"),
+                               F.lit(r["risk_score"] or default[r["severity"]]).alias("risk"))
+                      for i, r in enumerate(rules)])
+    hit = df.withColumn("_hits", numbers).filter(F.size("_hits") > 0)
+    full = F.transform("_hits", lambda i: F.get(facts, i))
+    return hit.select(
+        F.coalesce("host", F.lit("")).alias("host"), process_key().alias("process_key"), "ts",
+        micros("ts").alias("us"), "seq",
+        F.aggregate(full, F.lit(0).cast("long"), lambda acc, f: acc + f["risk"]).alias("risk"),
+        F.col("process.name").alias("name"), F.col("process.pid").alias("pid"),
+        F.transform(full, lambda f: F.struct(f["ord"].alias("ord"), f["rule_id"].alias("rule_id"),
+                                             f["technique_id"].alias("technique_id"))).alias("fired"))
+
+
 def sessions(events: DataFrame, keys: list[str], window: timedelta, bucket: timedelta = BUCKET) -> DataFrame:
     """Gap sessions with a running risk: adds ``session`` (start micros) and ``run``.
 
@@ -77,8 +99,14 @@ def sessions(events: DataFrame, keys: list[str], window: timedelta, bucket: time
 def correlate(alerts: DataFrame, window: timedelta = WINDOW, threshold: int = THRESHOLD,
               bucket: timedelta = BUCKET) -> DataFrame:
     """One incident per (host, process) session, as of the event that crosses the threshold."""
+    return incidents_of(risk_events(alerts), window, threshold, bucket)
+
+
+def incidents_of(events: DataFrame, window: timedelta = WINDOW, threshold: int = THRESHOLD,
+                 bucket: timedelta = BUCKET) -> DataFrame:
+    """Incidents from event-grain risk rows (``risk_events`` or ``fired_events``)."""
     keys = ["host", "process_key"]
-    events = sessions(risk_events(alerts), keys, window, bucket)
+    events = sessions(events, keys, window, bucket)
     crossed = (F.col("run") >= threshold) & (F.col("run") - F.col("risk") < threshold)
     at = F.when(crossed, F.struct("us", "seq", "run", "name", "pid"))
     # First sighting of each rule in a session: at most one row per rule, so both

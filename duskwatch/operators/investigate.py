@@ -105,7 +105,7 @@ def annotate(nodes: DataFrame, records: DataFrame) -> DataFrame:
                           "severity": F.coalesce("severity", F.lit(""))}))
 
 
-def _climb(nodes: DataFrame, rounds: int = 40) -> DataFrame:
+def _climb(nodes: DataFrame) -> DataFrame:
     """Pointer doubling: (host, id, top, depth, open) for (host, id, up) parent pointers.
 
     ``open`` marks nodes that never reach a root, i.e. that sit on or lead into a cycle.
@@ -115,9 +115,9 @@ def _climb(nodes: DataFrame, rounds: int = 40) -> DataFrame:
                          F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("depth"),
                          F.col("up").isNotNull().alias("open"))
     state = materialize(state)
-    left = state.filter("open").count()
-    for _ in range(rounds):
-        if left == 0:
+    # A pointer over more steps than there are nodes can only be on a cycle.
+    for _ in range(state.count().bit_length() + 1):
+        if state.filter("open").isEmpty():
             break
         jump = state.select("host", F.col("id").alias("top"), F.col("top").alias("_top"),
                             F.col("depth").alias("_depth"), F.col("open").alias("_open"))
@@ -126,11 +126,6 @@ def _climb(nodes: DataFrame, rounds: int = 40) -> DataFrame:
                  .select("host", "id", F.col("_top").alias("top"), (F.col("depth") + F.col("_depth")).alias("depth"),
                          F.col("_open").alias("open")))
         state = materialize(closed.unionByName(moved))
-        still = state.filter("open").count()
-        # Every open pointer doubles each round; none closing over a span of 2^20 means cycles.
-        if still == left and _ >= 20:
-            break
-        left = still
     return state
 
 
