@@ -6,70 +6,44 @@ at zero, the others are always present (a missing value reads as 0 / false).
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..schema import VERBS
 
 
-def _text(path: str) -> Callable[[], Column]:
-    return lambda: F.nullif(F.col(path), F.lit(""))
-
-
-def _number(path: str) -> Callable[[], Column]:
-    return lambda: F.coalesce(F.col(path).cast("long"), F.lit(0).cast("long"))
-
-
-def _nonzero(path: str) -> Callable[[], Column]:
-    return lambda: F.nullif(F.col(path).cast("long"), F.lit(0).cast("long"))
-
-
-def _flag(path: str) -> Callable[[], Column]:
-    return lambda: F.coalesce(F.col(path), F.lit(False))
-
-
-def _joined(path: str) -> Callable[[], Column]:
-    return lambda: F.when(F.size(path) > 0, F.array_join(path, ","))
-
-
-def _percent(path: str) -> Callable[[], Column]:
-    return lambda: (F.coalesce(F.col(path), F.lit(0.0)) * 100 + 0.5).cast("long")
-
-
-# The field names, their kinds and when they are absent.
-FIELDS: dict[str, tuple[str, Callable[[], Column]]] = {
-    "event.type": ("string", _text("action")),
-    "event.action": ("string", _text("action")),
-    "host.name": ("string", _text("host")),
-    "process.pid": ("long", _number("process.pid")),
-    "process.ppid": ("long", _number("process.ppid")),
-    "process.name": ("string", _text("process.name")),
-    "process.executable": ("string", _text("process.executable")),
-    "process.command_line": ("string", _text("process.command_line")),
-    "process.stdio_socket": ("bool", _flag("process.stdio_socket")),
-    "process.hash.sha256": ("string", _text("process.sha256")),
-    "process.parent.name": ("string", _text("process.parent_name")),
-    "process.parent.executable": ("string", _text("process.parent_executable")),
-    "yara.matched": ("string", _joined("process.yara_matches")),
-    "user.id": ("long", _number("user.id")),
-    "user.name": ("string", _text("user.name")),
-    "file.path": ("string", _text("file.path")),
-    "file.target": ("string", _text("file.target")),
-    "file.flags": ("long", _number("file.flags")),
-    "file.mode": ("long", _number("file.mode")),
-    "source.ip": ("string", _text("network.src_ip")),
-    "source.port": ("long", _nonzero("network.src_port")),
-    "destination.ip": ("string", _text("network.dst_ip")),
-    "destination.port": ("long", _nonzero("network.dst_port")),
-    "dns.question.name": ("string", _text("network.domain")),
-    "container.id": ("string", _text("container.id")),
-    "container.runtime": ("string", _text("container.runtime")),
-    "syscall.request": ("long", _number("syscall.request")),
-    "syscall.target_pid": ("long", _nonzero("syscall.target_pid")),
-    "syscall.new_uid": ("long", _number("syscall.new_uid")),
-    "anomaly.score": ("long", _percent("anomaly_score")),
+# Field name -> (kind, column path, when it is absent).
+FIELDS: dict[str, tuple[str, str, str]] = {
+    "event.type": ("string", "action", "empty"),
+    "event.action": ("string", "action", "empty"),
+    "host.name": ("string", "host", "empty"),
+    "process.pid": ("long", "process.pid", "never"),
+    "process.ppid": ("long", "process.ppid", "never"),
+    "process.name": ("string", "process.name", "empty"),
+    "process.executable": ("string", "process.executable", "empty"),
+    "process.command_line": ("string", "process.command_line", "empty"),
+    "process.stdio_socket": ("bool", "process.stdio_socket", "never"),
+    "process.hash.sha256": ("string", "process.sha256", "empty"),
+    "process.parent.name": ("string", "process.parent_name", "empty"),
+    "process.parent.executable": ("string", "process.parent_executable", "empty"),
+    "yara.matched": ("string", "process.yara_matches", "no elements"),
+    "user.id": ("long", "user.id", "never"),
+    "user.name": ("string", "user.name", "empty"),
+    "file.path": ("string", "file.path", "empty"),
+    "file.target": ("string", "file.target", "empty"),
+    "file.flags": ("long", "file.flags", "never"),
+    "file.mode": ("long", "file.mode", "never"),
+    "source.ip": ("string", "network.src_ip", "empty"),
+    "source.port": ("long", "network.src_port", "zero"),
+    "destination.ip": ("string", "network.dst_ip", "empty"),
+    "destination.port": ("long", "network.dst_port", "zero"),
+    "dns.question.name": ("string", "network.domain", "empty"),
+    "container.id": ("string", "container.id", "empty"),
+    "container.runtime": ("string", "container.runtime", "empty"),
+    "syscall.request": ("long", "syscall.request", "never"),
+    "syscall.target_pid": ("long", "syscall.target_pid", "zero"),
+    "syscall.new_uid": ("long", "syscall.new_uid", "never"),
+    "anomaly.score": ("long", "anomaly_score", "never"),
 }
 
 
@@ -87,10 +61,30 @@ def field_kind(name: str) -> str:
     return FIELDS[name][0]
 
 
+def plain_text(name: str) -> Column | None:
+    """The stored column of a text field that is absent when empty, else None.
+
+    A test that is false on an empty string may use it directly and stay a smaller plan.
+    """
+    kind, path, absent = FIELDS[name]
+    return F.col(path) if kind == "string" and absent == "empty" else None
+
+
 def field(name: str) -> Column:
-    if name not in FIELDS:
-        raise ValueError(f"unknown field {name!r}")
-    return FIELDS[name][1]()
+    field_kind(name)
+    kind, path, absent = FIELDS[name]
+    column = F.col(path)
+    if absent == "empty":
+        return F.when(column != "", column)
+    if absent == "no elements":
+        return F.when(F.size(column) > 0, F.array_join(column, ","))
+    if name == "anomaly.score":
+        return (F.coalesce(column, F.lit(0.0)) * 100 + 0.5).cast("long")
+    if absent == "zero":
+        return F.when(column != 0, column.cast("long"))
+    if kind == "bool":
+        return F.coalesce(column, F.lit(False))
+    return F.coalesce(column.cast("long"), F.lit(0).cast("long"))
 
 
 def process_key() -> Column:

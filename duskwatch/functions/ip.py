@@ -16,6 +16,11 @@ DOTTED = rf"(?:{OCTET}\.){{3}}{OCTET}"
 MAPPED = "0" * 20 + "ffff"
 
 
+def _bind(value: Column, then) -> Column:
+    """``then(value)`` with ``value`` computed once, however often it is referred to."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def is_v4(ip: Column) -> Column:
     return ip.rlike(rf"\A{DOTTED}\z")
 
@@ -30,28 +35,30 @@ def v4_long(ip: Column) -> Column:
     return F.when(is_v4(ip), a * 16777216 + b * 65536 + c * 256 + d)
 
 
+def _expand(text: Column, groups: int) -> Column:
+    """``groups`` colon-separated groups as padded hex digits, null if malformed."""
+    edged = F.concat(F.when(text.startswith("::"), "0").otherwise(""), text,
+                     F.when(text.endswith("::"), "0").otherwise(""))
+    # An inner "::" stands for at least one group; at an edge the added "0" is that group.
+    least = F.when(text.startswith("::") | text.endswith("::"), 0).otherwise(1)
+    fill = lambda t: F.replace(t, F.lit("::"), F.concat(F.lit(":"), F.repeat(F.lit("0:"), F.greatest(
+        F.lit(groups) - F.regexp_count(t, F.lit(":")), least))))
+    padded = F.concat(F.lit(":"), _bind(edged, fill))
+    for _ in range(3):
+        padded = F.regexp_replace(padded, ":(?=[0-9a-f]{1,3}(:|$))", ":0")
+    # At most one "::"; exactly ``groups`` groups once it is filled.
+    digits = F.replace(F.regexp_extract(padded, rf"\A(:[0-9a-f]{{4}}){{{groups}}}\z", 0), F.lit(":"), F.lit(""))
+    return F.when(text.rlike(r"\A(?!.*::.*::)(?!.*:::)[0-9a-f:]+\z"), F.nullif(digits, F.lit("")))
+
+
 def _v6_hex(ip: Column) -> Column:
     """Expand a textual v6 address (``::`` and a dotted tail allowed) to 32 hex digits."""
-    text = F.lower(ip)
-    tail = F.regexp_extract(text, rf"({DOTTED})\z", 1)
-    low = v4_long(tail)
-    tail_groups = F.concat(F.hex(F.shiftright(low, 16)), F.lit(":"), F.hex(low.bitwiseAND(F.lit(65535))))
-    plain = F.lower(F.when(tail != "", F.concat(F.regexp_replace(text, rf"{DOTTED}\z", ""), tail_groups))
-                    .otherwise(text))
-    head, rest = F.split_part(plain, F.lit("::"), F.lit(1)), F.split_part(plain, F.lit("::"), F.lit(2))
-    groups = lambda part: F.when(part == "", F.array().cast("array<string>")).otherwise(F.split(part, ":"))
-    left, right = groups(head), groups(rest)
-    given = F.size(left) + F.size(right)
-    squeezed = plain.contains("::")
-    fill = F.array_repeat(F.lit("0"), F.greatest(F.lit(8) - given, F.lit(0)))
-    every = F.when(squeezed, F.concat(left, fill, right)).otherwise(left)
-    valid = (
-        ip.contains(":")
-        & (F.size(F.split(plain, "::")) <= 2) & ~plain.contains(":::")
-        & F.when(squeezed, given < 8).otherwise(given == 8)
-        & F.forall(every, lambda g: g.rlike(r"\A[0-9a-f]{1,4}\z"))
-    )
-    return F.when(valid, F.array_join(F.transform(every, lambda g: F.lpad(g, 4, "0")), ""))
+    def mixed(text: Column) -> Column:
+        low = F.lpad(F.lower(F.hex(_bind(F.substring_index(text, ":", -1), v4_long))), 8, "0")
+        head = F.regexp_replace(text, r"(?<=::)[0-9.]+\z|(?<!:):[0-9.]+\z", "")
+        return F.concat(_bind(head, lambda h: _expand(h, 6)), low)
+
+    return F.when(ip.contains("."), _bind(F.lower(ip), mixed)).otherwise(_bind(F.lower(ip), lambda t: _expand(t, 8)))
 
 
 def ip_hex(ip: Column) -> Column:
@@ -93,8 +100,12 @@ def parse_network(text: str) -> tuple[int, int, str]:
 def in_network(ip: Column, cidr: str) -> Column:
     """Whether an address column lies in a literal network; null ip -> null."""
     family, bits, digits = parse_network(cidr)
-    wide = ip_hex(ip)
-    generic = (ip_family(wide) == family) & (ip_prefix(wide, F.lit(bits)) == F.lit(_prefix(digits, bits)))
+    wide, prefix = ip_hex(ip), _prefix(digits, bits)
+    same = lambda w: w.startswith(prefix) if bits % 4 == 0 else ip_prefix(w, F.lit(bits)) == F.lit(prefix)
+    if family == 6 and MAPPED.startswith(prefix[:26]):
+        generic = _bind(wide, lambda w: same(w) & ~w.startswith(MAPPED))
+    else:
+        generic = _bind(wide, same)
     if family == 6:
         return F.when(ip.contains(":"), generic).otherwise(F.lit(False))
     shift = 128 - bits
@@ -108,14 +119,15 @@ def _prefix(digits: str, bits: int) -> str:
     return digits[:whole] + tail
 
 
-def network_columns(cidr: Column) -> dict[str, Column]:
-    """Family, bits and prefix of a CIDR text column; nulls when it does not parse."""
-    address, length = F.split_part(cidr, F.lit("/"), F.lit(1)), F.split_part(cidr, F.lit("/"), F.lit(2))
-    wide = ip_hex(address)
-    plen = F.when(length.rlike(r"\A(0|[1-9][0-9]{0,2})\z"), length.cast("int"))
-    dotted = ~address.contains(":")
-    bits = F.when(dotted & (plen <= 32), plen + 96).when(~dotted & (plen <= 128), plen)
-    family = F.when(bits.isNotNull() & wide.isNotNull(),
-                    F.when(wide.startswith(MAPPED) & (bits >= 96), 4).otherwise(6))
-    return {"net_family": family, "net_bits": F.when(family.isNotNull(), bits),
-            "net_prefix": F.when(family.isNotNull(), ip_prefix(wide, bits))}
+def parse_cidr(cidr: Column) -> Column:
+    """(family, bits, prefix) struct of a CIDR text column, null when it does not parse."""
+    def parts(wide: Column) -> Column:
+        length = F.split_part(cidr, F.lit("/"), F.lit(2))
+        plen = F.when(length.rlike(r"\A(0|[1-9][0-9]{0,2})\z"), length.cast("int"))
+        dotted = ~cidr.contains(":")
+        bits = F.when(dotted & (plen <= 32), plen + 96).when(~dotted & (plen <= 128), plen)
+        family = F.when(wide.startswith(MAPPED) & (bits >= 96), 4).otherwise(6)
+        return F.when(wide.isNotNull() & bits.isNotNull(), F.struct(
+            family.alias("net_family"), bits.alias("net_bits"), ip_prefix(wide, bits).alias("net_prefix")))
+
+    return _bind(ip_hex(F.split_part(cidr, F.lit("/"), F.lit(1))), parts)

@@ -14,7 +14,7 @@ from typing import Any
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .fields import field, field_kind
+from .fields import field, field_kind, plain_text
 from .ip import in_network, parse_network
 
 RULE_OPS = ("exists", "eq", "ne", "in", "not_in", "contains", "startswith", "endswith",
@@ -101,9 +101,17 @@ def _equals(column: Column, kind: str, value: Any) -> Column:
     return F.lit(False) if want is None else column == F.lit(want)
 
 
+def _false_on_empty(op: str, value: Any) -> bool:
+    """Whether a text test is false on the empty string by itself."""
+    if op == "in":
+        return all(_as_text(v) != "" for v in value)
+    return op in ("eq", "contains", "startswith", "endswith") and _as_text(value) != ""
+
+
 def _rule_leaf(name: str, op: str, value: Any) -> Column:
-    kind, column = field_kind(name), field(name)
-    absent = False
+    kind, stored, absent = field_kind(name), plain_text(name), False
+    listed = op != "in" or isinstance(value, (list, tuple))
+    column = stored if stored is not None and (op == "regex" or listed and _false_on_empty(op, value)) else field(name)
     if op == "exists":
         test = column.isNotNull()
     elif op in ("eq", "ne"):
@@ -118,7 +126,10 @@ def _rule_leaf(name: str, op: str, value: Any) -> Column:
         test = getattr(column, op)(F.lit(_as_text(value))) if kind == "string" else F.lit(False)
     elif op == "regex":
         pattern = java_regex(_as_text(value))
-        test = column.rlike(pattern) if kind == "string" else F.lit(False)
+        if stored is not None:
+            test = (stored != "") & stored.rlike(pattern)
+        else:
+            test = column.rlike(pattern) if kind == "string" else F.lit(False)
     elif op in ("gt", "lt", "ge", "le"):
         want = _as_int(value)
         if want is None:

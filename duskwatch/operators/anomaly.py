@@ -69,7 +69,7 @@ def feature_vector() -> Column:
     name = F.coalesce(F.col("process.name"), F.lit(""))
     parts = [
         byte_length(F.col("process.name")), byte_length(F.col("process.command_line")),
-        F.greatest(F.coalesce(F.size("process.args"), F.lit(0)), F.lit(0)), F.hour("ts"),
+        F.greatest(F.coalesce(F.size("process.args"), F.lit(0)), F.lit(0)), F.pmod(F.floor(F.unix_seconds("ts") / 3600), F.lit(24)),
         F.coalesce(F.col("network.dst_port"), F.lit(0)), F.coalesce(F.col("user.id"), F.lit(0)),
         path_depth(F.col("process.executable")), entropy(name),
     ]
@@ -186,7 +186,10 @@ def score_iforest(df: DataFrame, forest: DataFrame) -> DataFrame:
         score = np.power(2.0, -mean / norm) if norm else np.zeros(len(data))
         return pd.Series(np.maximum((score - 0.5) * 2, 0.0))
 
-    return df.withColumn("structural", isolation(feature_vector()))
+    # The one-element explode hands the vector over as a finished column: Spark does not
+    # pull a Python function out of an expression that holds lambdas.
+    ready = df.withColumn("_vector", F.explode(F.array(feature_vector())))
+    return ready.withColumn("structural", isolation("_vector")).drop("_vector")
 
 
 def score(df: DataFrame, baseline: DataFrame | None = None, forest: DataFrame | None = None) -> DataFrame:

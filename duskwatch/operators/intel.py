@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ip import ip_family, ip_hex, ip_prefix, network_columns
+from ..functions.ip import ip_family, ip_hex, ip_prefix, parse_cidr
 from .joins import lookup_join
 
 
@@ -17,7 +17,7 @@ def join_cidr(df: DataFrame, ip: str, nets: DataFrame, out: str = "net") -> Data
     v4, 129 for v6), so no pair of rows is compared that shares no prefix.
     The result is one row per input row, so the distinct addresses are resolved first.
     """
-    parsed = nets.withColumns(network_columns(F.col("cidr"))).filter("net_bits is not null")
+    parsed = nets.withColumn("_net", parse_cidr(F.col("cidr"))).filter("_net is not null").select("*", "_net.*")
     payload = F.struct(*[F.col(c) for c in nets.columns])
     first = parsed.groupBy("net_family", "net_bits", "net_prefix").agg(
         F.min(F.struct("ord", payload.alias("net"))).alias("best"))
@@ -43,16 +43,13 @@ def match_indicators(df: DataFrame, iocs: DataFrame) -> DataFrame:
     beats any network; among networks the first in feed order wins.
     """
     clean = lambda c: F.nullif(c, F.lit(""))
-    probes = F.array(
-        F.struct(F.lit(0).alias("probe"), F.lit("destination.ip").alias("field"), F.lit("ip").alias("type"),
-                 clean(F.col("network.dst_ip")).alias("indicator"), clean(F.col("network.dst_ip")).alias("key")),
-        F.struct(F.lit(1), F.lit("source.ip"), F.lit("ip"),
-                 clean(F.col("network.src_ip")), clean(F.col("network.src_ip"))),
-        F.struct(F.lit(2), F.lit("network.domain"), F.lit("domain"),
-                 clean(F.col("network.domain")), F.lower(clean(F.col("network.domain")))),
-        F.struct(F.lit(3), F.lit("process.sha256"), F.lit("hash"),
-                 clean(F.col("process.sha256")), F.lower(clean(F.col("process.sha256")))),
-    )
+    probe = lambda n, field, kind, path: F.struct(
+        F.lit(n).alias("probe"), F.lit(field).alias("field"), F.lit(kind).alias("type"),
+        clean(F.col(path)).alias("indicator"),
+        (clean(F.col(path)) if kind == "ip" else F.lower(clean(F.col(path)))).alias("key"))
+    probes = F.array(probe(0, "destination.ip", "ip", "network.dst_ip"), probe(1, "source.ip", "ip", "network.src_ip"),
+                     probe(2, "network.domain", "domain", "network.domain"),
+                     probe(3, "process.sha256", "hash", "process.sha256"))
     # Only distinct probe values meet the feed; matched values are then looked up per event.
     keys = (df.select(F.explode(probes).alias("p")).filter("p.key is not null")
             .select(F.col("p.type").alias("type"), F.col("p.key").alias("key")).distinct())

@@ -24,7 +24,7 @@ def histogram(df: DataFrame, value: str, bounds=LATENCY_BOUNDS, label: str | Non
         *[F.count_if(v <= F.lit(float(b))).alias(f"_b{i}") for i, b in enumerate(bounds)],
         F.count("*").alias("total"), F.sum(v).alias("sum"))
     rows = [F.struct(F.lit(float(b)).alias("le"), F.col(f"_b{i}").alias("count")) for i, b in enumerate(bounds)]
-    rows.append(F.struct(F.lit(float("inf")), F.col("total")))
+    rows.append(F.struct(F.lit(float("inf")).alias("le"), F.col("total").alias("count")))
     return one.select("label", F.explode(F.array(*rows)).alias("b"), "total", "sum") \
         .select("label", "b.le", "b.count", "total", "sum")
 

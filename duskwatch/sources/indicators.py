@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.ip import ip_hex, network_columns
+from ..functions.ip import ip_hex, parse_cidr
 
 
 def classify(lines: DataFrame) -> DataFrame:
@@ -19,7 +19,7 @@ def classify(lines: DataFrame) -> DataFrame:
             .when(F.col("raw").rlike(r"\A[0-9A-Fa-f]{64}\z"), "hash").otherwise("domain"))
     typed = rows.withColumn("type", kind)
     value = F.when(F.col("type").isin("domain", "hash"), F.lower("raw")).otherwise(F.col("raw"))
-    valid = (F.col("type") != "cidr") | network_columns(F.col("raw"))["net_bits"].isNotNull()
+    valid = (F.col("type") != "cidr") | parse_cidr(F.col("raw")).isNotNull()
     return typed.filter(valid).select("type", value.alias("value"), "source", "ord")
 
 
