@@ -17,7 +17,7 @@ def join_cidr(df: DataFrame, ip: str, nets: DataFrame, out: str = "net") -> Data
     v4, 129 for v6), so no pair of rows is compared that shares no prefix.
     The result is one row per input row, so the distinct addresses are resolved first.
     """
-    parsed = nets.withColumn("_net", parse_cidr(F.col("cidr"))).filter("_net is not null").select("*", "_net.*")
+    parsed = nets.withColumn("_net", F.explode(F.array(parse_cidr(F.col("cidr"))))).filter("_net is not null").select("*", "_net.*")
     payload = F.struct(*[F.col(c) for c in nets.columns])
     first = parsed.groupBy("net_family", "net_bits", "net_prefix").agg(
         F.min(F.struct("ord", payload.alias("net"))).alias("best"))
@@ -25,7 +25,7 @@ def join_cidr(df: DataFrame, ip: str, nets: DataFrame, out: str = "net") -> Data
     lengths = (first.groupBy("net_family")
                .agg(F.array_sort(F.collect_set("net_bits")).alias("net_lengths")))
     addresses = (df.select(F.col(ip).alias("_ip")).filter(F.col("_ip").isNotNull()).distinct()
-                 .withColumn("_hex", ip_hex(F.col("_ip"))).filter("_hex is not null")
+                 .withColumn("_hex", F.explode(F.array(ip_hex(F.col("_ip"))))).filter("_hex is not null")
                  .withColumn("net_family", ip_family(F.col("_hex"))))
     probes = (addresses.join(F.broadcast(lengths), "net_family")
               .select("_ip", "_hex", "net_family", F.explode("net_lengths").alias("net_bits"))
@@ -62,8 +62,8 @@ def match_indicators(df: DataFrame, iocs: DataFrame) -> DataFrame:
               .select("type", "key", F.col("net.source").alias("source")))
     known = direct.unionByName(ranged)
     exploded = df.withColumn("_p", F.explode(probes)).filter("_p.key is not null") \
-        .withColumns({"type": F.col("_p.type"), "key": F.col("_p.key")})
-    hits = lookup_join(exploded, known, ["type", "key"], "inner")
+        .withColumns({"_type": F.col("_p.type"), "_key": F.col("_p.key")})
+    hits = lookup_join(exploded, known.toDF("_type", "_key", "_source"), ["_type", "_key"], "inner")
     ioc = F.struct(F.col("_p.probe").alias("probe"), F.col("_p.indicator").alias("indicator"),
-                   F.col("type"), F.col("_p.field").alias("field"), F.col("source"))
-    return hits.withColumn("ioc", ioc).drop("_p", "type", "key", "source")
+                   F.col("_type").alias("type"), F.col("_p.field").alias("field"), F.col("_source").alias("source"))
+    return hits.withColumn("ioc", ioc).drop("_p", "_type", "_key", "_source")

@@ -232,9 +232,9 @@ u{i} AS (SELECT host, cur AS pid, us, seq, 1 AS turn, own, chain, NULL::BOOLEAN
   UNION ALL SELECT host, pid, us, seq, 0, NULL, NULL, alive, name, ppid FROM life),
 w{i} AS (SELECT *, last_value({{'alive': alive, 'name': name, 'ppid': ppid}}) OVER
     (PARTITION BY host, pid ORDER BY us, seq, turn) AS x, max(CASE WHEN turn = 0 THEN (us, seq) END) OVER
-    (PARTITION BY host, pid ORDER BY us, seq, turn) AS at FROM u{i}),
+    (PARTITION BY host, pid ORDER BY us, seq, turn) AS pos FROM u{i}),
 f{i} AS MATERIALIZED (SELECT w.host, w.us, w.seq, w.own, w.chain, e.alive, e.name, e.ppid FROM w{i} w
-  JOIN life e ON e.host = w.host AND e.pid = w.pid AND (e.us, e.seq) = w.at WHERE w.turn = 1),
+  JOIN life e ON e.host = w.host AND e.pid = w.pid AND (e.us, e.seq) = w.pos WHERE w.turn = 1),
 l{i + 1} AS MATERIALIZED (SELECT host, us, seq, own, ppid AS cur,
   CASE WHEN chain = '' AND {i} = 0 THEN name ELSE concat(chain, '>', name) END AS chain FROM f{i} WHERE alive)""")
     return ",".join(out)
@@ -318,21 +318,21 @@ prules AS (SELECT DISTINCT concat(p_type, '/', p_brand) AS id, CASE WHEN CAST(re
 """.format(t=", ".join(_q(t) for t in (*TACTIC_ORDER, "")))
 
 _CASES_LOG = RECORDS + """,
-main AS (SELECT CAST(conv_id AS VARCHAR) AS case_ref, conv_id * 1000000000 + turn * 1000000 AS us, conv_id * 10000 + turn * 10 AS seq,
+main AS (SELECT CAST(conv_id AS VARCHAR) AS case_ref, conv_id * 1000000000 + turn * 1000000 AS us, conv_id * 100000 + turn * 1000 AS seq,
    CASE WHEN turn = 0 THEN 'create' ELSE ['evidence', 'assign', 'comment', 'status'][turn % 4 + 1] END AS kind,
    CASE WHEN conv_id % 29 = 3 THEN ' ' ELSE concat('Case of ', role) END AS title,
    ['high', 'low', 'critical', '', 'bogus', 'info'][conv_id % 6 + 1] AS severity, concat('host-', conv_id % 8) AS host,
    concat('tag, t', conv_id % 3) AS tags, ['triage', 'closed', 'bogus'][conv_id % 3 + 1] AS status,
    concat(role, conv_id % 3) AS assignee, role AS author, text AS body, '' AS alert_id, conv_id, turn FROM conversations),
 log AS (SELECT * FROM main UNION ALL
-  SELECT m.case_ref, m.us, m.seq + 1 + (ascii(right(r.rule_id, 1)) - 48) % 9, 'evidence', m.title, m.severity, m.host, m.tags, m.status,
+  SELECT m.case_ref, m.us, m.seq + 1 + CAST(substring(r.rule_id, 3, 4) AS BIGINT), 'evidence', m.title, m.severity, m.host, m.tags, m.status,
     m.assignee, m.author, m.body, r.id, m.conv_id, m.turn FROM main m JOIN records r ON r.seq = m.conv_id * 11 + m.turn),
 bad AS (SELECT *, CASE WHEN kind = 'create' AND trim(title) = '' THEN 'a case needs a title'
     WHEN kind = 'create' AND severity NOT IN ('', 'info', 'low', 'medium', 'high', 'critical') THEN 'unknown severity'
     WHEN kind = 'status' AND status NOT IN ('open', 'triage', 'closed') THEN 'invalid status (want open|triage|closed)' END AS p0 FROM log),
-born AS (SELECT case_ref AS ref, min((us, seq)) AS at FROM bad WHERE kind = 'create' AND p0 IS NULL GROUP BY 1),
-checked AS MATERIALIZED (SELECT b.*, CASE WHEN p0 IS NOT NULL THEN p0 WHEN at IS NULL OR (us, seq) < at THEN 'case not found'
-    WHEN kind = 'create' AND (us, seq) > at THEN 'case exists' END AS problem FROM bad b LEFT JOIN born ON ref = case_ref),
+born AS (SELECT case_ref AS ref, min((us, seq)) AS pos FROM bad WHERE kind = 'create' AND p0 IS NULL GROUP BY 1),
+checked AS MATERIALIZED (SELECT b.*, CASE WHEN p0 IS NOT NULL THEN p0 WHEN pos IS NULL OR (us, seq) < pos THEN 'case not found'
+    WHEN kind = 'create' AND (us, seq) > pos THEN 'case exists' END AS problem FROM bad b LEFT JOIN born ON ref = case_ref),
 good AS (SELECT * FROM checked WHERE problem IS NULL),
 cases AS MATERIALIZED (SELECT concat('CASE-', CASE WHEN n < 1000 THEN lpad(CAST(n AS VARCHAR), 4, '0') ELSE CAST(n AS VARCHAR) END) AS case_id, * FROM (
   SELECT case_ref, max(title) FILTER (kind = 'create') AS title, max(severity) FILTER (kind = 'create') AS severity,
@@ -393,11 +393,11 @@ nxt AS MATERIALIZED (SELECT p.kind, p.key, p.us, n.us AS nus FROM (SELECT kind,
 anchors AS (SELECT kind, key, min(us) AS a FROM pts GROUP BY ALL
   UNION ALL SELECT n.kind, n.key, n.nus FROM anchors x JOIN nxt n ON n.kind = x.kind AND n.key = x.key AND n.us = x.a WHERE n.nus IS NOT NULL),
 placed AS (SELECT s.kind, s.key, s.host, s.us, s.seq, a.a FROM seen s ASOF JOIN anchors a ON s.kind = a.kind AND s.key = a.key AND s.us >= a.a),
-firsts AS (SELECT kind, key, a, host, min((us, seq)) AS at FROM placed GROUP BY ALL),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY kind, key, a ORDER BY at) AS n FROM firsts),
-fired AS (SELECT kind, key, a, string_agg(host, ',' ORDER BY host) AS hosts, string_agg(host, ', ' ORDER BY host) AS pretty, max(at) AS at
+firsts AS (SELECT kind, key, a, host, min((us, seq)) AS pos FROM placed GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY kind, key, a ORDER BY pos) AS n FROM firsts),
+fired AS (SELECT kind, key, a, string_agg(host, ',' ORDER BY host) AS hosts, string_agg(host, ', ' ORDER BY host) AS pretty, max(pos) AS pos
   FROM ranked WHERE n <= 3 GROUP BY ALL HAVING count(*) = 3)
-SELECT kind, key, hosts, a AS first_us, at[1] AS last_us, CASE WHEN kind = 'lateral-movement' THEN concat('technique ', key, ' seen on 3 hosts: ', pretty)
+SELECT kind, key, hosts, a AS first_us, pos[1] AS last_us, CASE WHEN kind = 'lateral-movement' THEN concat('technique ', key, ' seen on 3 hosts: ', pretty)
   ELSE concat('3 hosts contacted ', key, ': ', pretty) END AS summary FROM fired"""
 
 
@@ -410,17 +410,17 @@ def _sequence(stages, key: str, within_us: int | None, n: int) -> str:
         return " AND ".join(parts) or "true"
 
     cols = ", ".join(f"({test(*s)}) AS s{i}" for i, s in enumerate(stages))
-    out = [f"WITH {TEL}, r AS MATERIALIZED (SELECT {key} AS key, us, seq, (us, seq) AS at, {cols} FROM tel)"]
+    out = [f"WITH {TEL}, r AS MATERIALIZED (SELECT {key} AS key, us, seq, (us, seq) AS pos, {cols} FROM tel)"]
     last = "r"
     for i in range(n - 1, 0, -1):
         ready = f"s{i}" if i == n - 1 else f"s{i} AND n{i + 1} IS NOT NULL"
-        out.append(f", x{i} AS MATERIALIZED (SELECT *, min(CASE WHEN {ready} THEN at END) OVER (PARTITION BY key ORDER BY us, seq "
+        out.append(f", x{i} AS MATERIALIZED (SELECT *, min(CASE WHEN {ready} THEN pos END) OVER (PARTITION BY key ORDER BY us, seq "
                    f"ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS n{i} FROM {last})")
         last = f"x{i}"
     joins, cols = "", "a.key, a.seq AS s0"
     prev = "a"
     for i in range(1, n):
-        joins += f" JOIN {last} b{i} ON b{i}.key = a.key AND b{i}.at = {prev}.n{i}"
+        joins += f" JOIN {last} b{i} ON b{i}.key = a.key AND b{i}.pos = {prev}.n{i}"
         cols += f", b{i}.seq AS s{i}"
         prev = f"b{i}"
     limit = "" if within_us is None else f" AND {prev}.us - a.us <= {within_us}"
@@ -544,8 +544,8 @@ def _ioc_alerts() -> str:
 _PARENT_CTE = TEL + "," + _LIFE.format(start="start_ns") + """,
 lookup AS (SELECT host, ppid AS pid, us, seq, 1 AS turn, NULL::BOOLEAN AS alive, NULL AS nm, NULL AS exe FROM tel
   UNION ALL SELECT host, pid, us, seq, 0, alive, name, exe FROM life),
-best AS (SELECT *, max(CASE WHEN turn = 0 THEN (us, seq) END) OVER (PARTITION BY host, pid ORDER BY us, seq, turn) AS at FROM lookup),
-parent AS MATERIALIZED (SELECT b.seq, l.name AS pname, l.exe AS pexe FROM best b JOIN life l ON l.host = b.host AND l.pid = b.pid AND (l.us, l.seq) = b.at
+best AS (SELECT *, max(CASE WHEN turn = 0 THEN (us, seq) END) OVER (PARTITION BY host, pid ORDER BY us, seq, turn) AS pos FROM lookup),
+parent AS MATERIALIZED (SELECT b.seq, l.name AS pname, l.exe AS pexe FROM best b JOIN life l ON l.host = b.host AND l.pid = b.pid AND (l.us, l.seq) = b.pos
   WHERE b.turn = 1 AND l.alive)"""
 
 
@@ -565,7 +565,7 @@ def _full_pipeline() -> str:
 
 
 def build() -> dict[str, str]:
-    fmt_event = ("concat(strftime(make_timestamp(us), '%H:%M:%S.'), lpad(CAST((us // 1000) % 1000 AS VARCHAR), 3, '0'), ' ', rpad(action, greatest(8, length(action)), ' '), ' pid=', "
+    fmt_event = ("concat(strftime(make_timestamp(us), '%H:%M:%S.'), lpad(CAST((us // 1000) % 1000 AS VARCHAR), 3, '0'), ' ', rpad(action, CAST(greatest(8, length(action)) AS INTEGER), ' '), ' pid=', "
                  f"rpad(CAST(pid AS VARCHAR), 7, ' '), ' ', rpad(name, 16, ' '), ' ', {_DETAIL})")
     return {
         "normalize_events": f"WITH {TEL} SELECT seq, action, CAST(CASE action WHEN 'exec' THEN 1 WHEN 'fork' THEN 2 WHEN 'exit' THEN 3 WHEN 'open' THEN 4 WHEN 'unlink' THEN 5 WHEN 'rename' THEN 6 WHEN 'chmod' THEN 7 WHEN 'connect' THEN 8 WHEN 'accept' THEN 9 WHEN 'ptrace' THEN 11 WHEN 'module_load' THEN 12 WHEN 'setuid' THEN 16 WHEN 'dns' THEN 17 END AS BIGINT) AS event_type, '1.0' AS schema_version FROM tel",
@@ -592,7 +592,7 @@ def build() -> dict[str, str]:
         "indicator_alerts": f"WITH {IOC} SELECT seq, concat('INTEL-', upper(type)) AS rule_id, concat(field, ' \"', indicator, '\" matched an indicator from feed ', source) AS description, CASE WHEN type IN ('ip', 'domain') THEN 'T1071' ELSE '' END AS technique_id, 60::BIGINT AS risk_score FROM hits",
         "cidr_join": f"WITH {IOC} SELECT t.seq, t.dst_ip AS ip, r.cidr FROM tel t LEFT JOIN ranged r ON r.k2 = t.dst_ip WHERE t.dst_ip <> ''",
         "parent_lookup": f"WITH {_PARENT_CTE} SELECT t.seq, coalesce(p.pname, '') AS parent_name, coalesce(p.pexe, '') AS parent_executable FROM tel t LEFT JOIN parent p USING (seq)",
-        "start_stamp": f"WITH {TEL}, {_LIFE.format(start=chr(34) + 'st' + chr(34)).replace('FROM tel', 'FROM tel3')}, best AS (SELECT *, max(CASE WHEN action IN ('exec', 'fork', 'exit') THEN (us, seq) END) OVER (PARTITION BY host, pid ORDER BY us, seq) AS at FROM tel3) SELECT b.seq, CASE WHEN b.st = 0 AND l.alive THEN l.start ELSE b.st END AS start_ns FROM best b LEFT JOIN life l ON l.host = b.host AND l.pid = b.pid AND (l.us, l.seq) = b.at".replace(f"WITH {TEL},", f"WITH {TEL}, tel3 AS (SELECT *, CASE WHEN action = 'exec' THEN seq * 1000 + 7 ELSE 0 END AS st FROM tel),"),
+        "start_stamp": f"WITH {TEL}, {_LIFE.format(start=chr(34) + 'st' + chr(34)).replace('FROM tel', 'FROM tel3')}, best AS (SELECT *, max(CASE WHEN action IN ('exec', 'fork', 'exit') THEN (us, seq) END) OVER (PARTITION BY host, pid ORDER BY us, seq) AS pos FROM tel3) SELECT b.seq, CASE WHEN b.st = 0 AND l.alive THEN l.start ELSE b.st END AS start_ns FROM best b LEFT JOIN life l ON l.host = b.host AND l.pid = b.pid AND (l.us, l.seq) = b.pos".replace(f"WITH {TEL},", f"WITH {TEL}, tel3 AS (SELECT *, CASE WHEN action = 'exec' THEN seq * 1000 + 7 ELSE 0 END AS st FROM tel),"),
         "ancestry_chains": f"WITH {TEL},{_LIFE.format(start='start_ns')},{_levels(16)} SELECT t.seq, coalesce(c.chain, '') AS chain FROM tel t LEFT JOIN (SELECT host, seq, arg_max(chain, length(chain)) AS chain FROM ({' UNION ALL '.join(f'SELECT host, seq, chain FROM l{i}' for i in range(1, 17))}) GROUP BY ALL) c USING (host, seq)",
         "user_names": f"WITH {TEL} SELECT seq, CASE WHEN user_name <> '' THEN user_name ELSE coalesce(n_name, '') END AS user_name FROM tel LEFT JOIN nation ON n_nationkey = uid",
         "container_parse": f"WITH {TEL} SELECT seq, regexp_extract(cgroup, '[0-9a-f]{{64}}|[0-9a-f]{{32}}') AS container_id, CASE WHEN regexp_extract(cgroup, '[0-9a-f]{{64}}|[0-9a-f]{{32}}') = '' THEN '' WHEN contains(cgroup, 'docker') THEN 'docker' WHEN contains(cgroup, 'kubepods') THEN 'containerd' ELSE '' END AS runtime FROM tel",

@@ -482,7 +482,7 @@ def _case_log(spark, d):
     conv, turn = F.col("conv_id"), F.col("turn")
     kind = F.when(turn == 0, "create").otherwise(pick(["evidence", "assign", "comment", "status"], turn % 4))
     main = c.select(
-        conv.cast("string").alias("case_ref"), ts.alias("ts"), (conv * 10000 + turn * 10).alias("seq"),
+        conv.cast("string").alias("case_ref"), ts.alias("ts"), (conv * 100000 + turn * 1000).alias("seq"),
         kind.alias("kind"), F.when(conv % 29 == 3, " ").otherwise(F.concat(F.lit("Case of "), "role")).alias("title"),
         pick(["high", "low", "critical", "", "bogus", "info"], conv % 6).alias("severity"),
         F.concat(F.lit("host-"), (conv % 8).cast("string")).alias("host"),
@@ -492,9 +492,9 @@ def _case_log(spark, d):
         F.col("text").alias("body"), F.lit("").alias("alert_id"), conv, turn)
     # Every turn also files the alerts of one event as evidence.
     ids = (_records(spark, d).select(F.col("seq").alias("_event"), "id", "rule_id"))
-    rank = F.ascii(F.substring("rule_id", -1, 1)) - 48
+    rank = F.substring("rule_id", 3, 4).cast("long")
     filed = (main.withColumn("_event", conv * 11 + turn).join(ids, "_event")
-             .withColumns({"kind": F.lit("evidence"), "alert_id": F.col("id"), "seq": F.col("seq") + 1 + F.pmod(rank, F.lit(9))})
+             .withColumns({"kind": F.lit("evidence"), "alert_id": F.col("id"), "seq": F.col("seq") + 1 + rank})
              .select(*main.columns))
     return main.unionByName(filed).drop("conv_id", "turn")
 

@@ -17,10 +17,13 @@ def classify(lines: DataFrame) -> DataFrame:
     rows = lines.select(text.alias("raw"), "source", "ord").filter("raw <> ''")
     kind = (F.when(F.col("raw").contains("/"), "cidr").when(ip_hex(F.col("raw")).isNotNull(), "ip")
             .when(F.col("raw").rlike(r"\A[0-9A-Fa-f]{64}\z"), "hash").otherwise("domain"))
-    typed = rows.withColumn("type", kind)
-    value = F.when(F.col("type").isin("domain", "hash"), F.lower("raw")).otherwise(F.col("raw"))
-    valid = (F.col("type") != "cidr") | parse_cidr(F.col("raw")).isNotNull()
-    return typed.filter(valid).select("type", value.alias("value"), "source", "ord")
+    # A one-element explode hands on finished columns, so later joins and filters do not
+    # copy the parsing expressions into their own conditions.
+    facts = F.struct(kind.alias("type"), parse_cidr(F.col("raw")).isNotNull().alias("is_net"))
+    typed = rows.withColumn("t", F.explode(F.array(facts)))
+    value = F.when(F.col("t.type").isin("domain", "hash"), F.lower("raw")).otherwise(F.col("raw"))
+    return (typed.filter((F.col("t.type") != "cidr") | F.col("t.is_net"))
+            .select("t.type", value.alias("value"), "source", "ord"))
 
 
 def read_indicators(spark: SparkSession, paths: list[str]) -> DataFrame:
