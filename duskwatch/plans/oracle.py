@@ -448,7 +448,7 @@ _ISO = "concat(strftime(make_timestamp({c}), '%Y-%m-%dT%H:%M:%S'), CASE WHEN {c}
 _DETAIL = "CASE WHEN action = 'exec' THEN command_line WHEN action IN ('connect', 'accept') THEN concat(src_ip, ':0 -> ', dst_ip, ':', dst_port) WHEN target <> '' THEN concat(path, ' -> ', target) ELSE path END"
 _FLAT = "id, hostname, us, rule_id, severity, technique_id, pid, destination_ip, risk_score, is_incident"
 _INC_FLAT = "SELECT substring(sha256(concat_ws(chr(31), 'incident', host, process_key, id)), 1, 32), host, last_us, id, 'critical', split_part(techniques, ',', 1), 0, '', risk_score, true FROM incidents"
-T0, T1 = 1704844800000000, 1705017600000000
+T0, T1, TRAINED = 1704844800000000, 1705017600000000, 1704153600000000
 
 
 def _features(where: str = "true") -> str:
@@ -458,7 +458,7 @@ def _features(where: str = "true") -> str:
             f"UNION ALL SELECT seq, 'dest_port', CAST(dst_port AS VARCHAR) FROM tel WHERE dst_port <> 0 AND {where}")
 
 
-_RARITY = f"""{TEL}, base AS (SELECT category, key, count(*) AS n FROM ({_features(f'us < {T0}')}) GROUP BY ALL),
+_RARITY = f"""{TEL}, base AS (SELECT category, key, count(*) AS n FROM ({_features(f'us < {TRAINED}')}) GROUP BY ALL),
 rare AS (SELECT f.seq, max(1.0 / (1.0 + log2(1 + coalesce(b.n, 0)))) AS r FROM ({_features()}) f LEFT JOIN base b USING (category, key) GROUP BY 1),
 scored AS (SELECT t.*, coalesce(r, 0.0) AS score FROM tel t LEFT JOIN rare USING (seq))"""
 
