@@ -45,7 +45,7 @@ class _Incidents(StatefulProcessor):
             "session", "score long, first_us long, last_us long, opened boolean, "
                        "techniques array<string>, rule_ids array<string>")
 
-    def handleInputRows(self, key, rows, timer):
+    def handleInputRows(self, key, rows, timerValues):
         batch, out = _in_order(rows), []
         held = self.state.get() if self.state.exists() else None
         score, first, last, opened, techniques, rules = held if held else (0, None, None, False, [], [])
@@ -70,7 +70,7 @@ class _Incidents(StatefulProcessor):
         self.handle.registerTimer((int(last) + self.window_us) // 1000 + 1)
         yield pd.DataFrame(out, columns=[c.split()[0] for c in INCIDENT.split(", ")])
 
-    def handleExpiredTimer(self, key, timer, expired):
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         self.state.clear()
         yield pd.DataFrame([], columns=[c.split()[0] for c in INCIDENT.split(", ")])
 
@@ -99,7 +99,7 @@ class _Signals(StatefulProcessor):
         # At most ``min_hosts`` hosts are ever held: past that the window has fired.
         self.state = handle.getValueState("window", "first_us long, fired boolean, hosts array<string>, seen array<long>")
 
-    def handleInputRows(self, key, rows, timer):
+    def handleInputRows(self, key, rows, timerValues):
         batch, out = _in_order(rows), []
         first, fired, hosts = None, False, {}
         if self.state.exists():
@@ -121,7 +121,7 @@ class _Signals(StatefulProcessor):
         self.handle.registerTimer((int(first) + self.window_us) // 1000 + 1)
         yield pd.DataFrame(out, columns=[c.split()[0] for c in SIGNAL.split(", ")])
 
-    def handleExpiredTimer(self, key, timer, expired):
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         self.state.clear()
         yield pd.DataFrame([], columns=[c.split()[0] for c in SIGNAL.split(", ")])
 
@@ -158,7 +158,7 @@ class _ProcessTree(StatefulProcessor):
     def _get(self, pid):
         return self.live.getValue((pid,)) if self.live.containsKey((pid,)) else None
 
-    def handleInputRows(self, key, rows, timer):
+    def handleInputRows(self, key, rows, timerValues):
         out = []
         for row in _in_order(rows).itertuples(index=False):
             if row.action in ("exec", "exec_blocked", "fork"):

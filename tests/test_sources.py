@@ -91,14 +91,14 @@ def test_content_sources_and_signatures(spark, make, tmp_path):
         {"name": "not_mz", "strings": {"h": {"hex": "5A4D"}, "i": {"hex": "4D5A"}}, "condition": {"all": [{"not": "h"}, "i"]}}])
     got = {r.path.rsplit("/", 1)[1]: r.matches for r in scanned.collect()}
     assert got == {"eicar": ["EICAR_Test_File"], "miner": ["Linux_CoinMiner"], "one": None, "shell": ["Linux_Reverse_Shell_Binary"],
-                   "php": ["PHP_Webshell"], "empty": None, "bin": ["mz", "not_mz"]}
+                   "php": ["PHP_Webshell"], "bin": ["mz", "not_mz"]}
     df = make([{"action": "exec", "process.executable": str(tmp_path / "eicar")}, {"action": "open", "process.executable": str(tmp_path / "eicar")},
                {"action": "exec", "process.executable": "/none"}])
     enriched = enrich.with_signatures(enrich.with_hash(df, read_content(spark, str(tmp_path), 100, skip_larger=True)), scanned)
     rows = {r.seq: r.process for r in enriched.collect()}
     assert rows[0].sha256 == hashlib.sha256(files["eicar"]).hexdigest() and rows[0].yara_matches == ["EICAR_Test_File"]
     assert rows[1].yara_matches is None and rows[2].yara_matches is None
-    assert {r.path.rsplit("/", 1)[1] for r in read_content(spark, str(tmp_path), 10, skip_larger=True).collect()} == {"one", "empty", "bin"}
+    assert {r.path.rsplit("/", 1)[1] for r in read_content(spark, str(tmp_path), 10, skip_larger=True).collect()} == {"one", "bin"}
     assert read_content(spark, str(tmp_path / "miner"), 5).collect()[0].content == b"XMRIG"
     from duskwatch.operators.detect import detect
 
@@ -116,7 +116,8 @@ def test_context_lookups(spark, make):
 
 
 def test_rarity_and_forest(spark, make, tmp_path):
-    rows = [{"action": "exec", "process.name": "bash", "process.executable": "/bin/bash", "user.id": 1, "process.command_line": "a" * (i % 5)} for i in range(400)]
+    rows = [{"action": "exec", "process.name": "bash", "process.executable": "/bin/bash" if i % 2 else "/usr/bin/bash", "user.id": i % 7,
+             "process.command_line": "a" * (i % 30), "network.dst_port": 440 + i % 9, "at": i * 200} for i in range(400)]
     odd = {"action": "exec", "process.name": "zzzzqqqq1234xyz", "process.executable": "/a/b/c/d/e/f/g", "user.id": 60000,
            "process.command_line": "x" * 900, "network.dst_port": 60001}
     df = make(rows)
@@ -125,9 +126,9 @@ def test_rarity_and_forest(spark, make, tmp_path):
     baseline, forest = anomaly.load_model(spark, str(tmp_path / "m"))
     probe = make([rows[0], odd, {"action": "exit"}])
     got = [r.anomaly_score for r in anomaly.score(probe, baseline, None).orderBy("seq").collect()]
-    assert got[0] == pytest.approx(1 / (1 + __import__("math").log2(401))) and got[1:] == [1.0, 0.0]
+    assert got[0] == pytest.approx(1 / (1 + __import__("math").log2(45 + 1)), abs=0.05) and got[1:] == [1.0, 0.0]
     structural = [r.structural for r in anomaly.score_iforest(probe, forest).orderBy("seq").collect()]
-    assert 0 <= structural[0] < 0.3 < structural[1] <= 1
+    assert 0 <= structural[0] < structural[1] <= 1 and structural[1] > 0.25
     again = anomaly.fit_iforest(df, trees=40, sample=64, seed=3)
     assert again.exceptAll(forest).isEmpty() and forest.groupBy("tree_id").count().count() == 40
     assert forest.filter("node_id = 0").agg(F.max("size")).collect()[0][0] == 64
