@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fields import process_key
 from ..schema import micros
+from ..session import materialize
 from .detect import alert_risk, matched_rules
 from .ordered import BUCKET, width_us
 
@@ -37,12 +38,12 @@ def fired_events(df: DataFrame, rules: list[dict]) -> DataFrame:
 
     Also works on a stream.
     """
-    numbers = F.array_compact(matched_rules(rules)) if rules else F.array().cast("array<int>")
     default = {"low": 10, "medium": 25, "high": 50, "critical": 80}
     facts = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(r["id"]).alias("rule_id"),
                                F.lit(r["technique"]["id"]).alias("technique_id"),
                                F.lit(r["risk_score"] or default[r["severity"]]).alias("risk"))
                       for i, r in enumerate(rules)])
+    numbers = F.array_compact(matched_rules(rules)) if rules else F.array().cast("array<int>")
     # A one-element explode keeps the rule expression evaluated once: what follows refers
     # to its output instead of repeating it.
     hit = df.withColumn("_hits", F.explode(F.array(numbers))).filter(F.size("_hits") > 0)
@@ -149,6 +150,11 @@ def sightings(records: DataFrame) -> DataFrame:
             .filter("key is not null"))
 
 
+def distinct_sightings(seen: DataFrame) -> DataFrame:
+    """One row per distinct (key, host, instant): all that windows depend on."""
+    return seen.groupBy("kind", "key", "host", "us").agg(F.min("seq").alias("seq"))
+
+
 def anchored_windows(seen: DataFrame, window: timedelta, chunk: int = 16) -> DataFrame:
     """Add ``anchor``: start of the window each sighting falls in.
 
@@ -161,9 +167,7 @@ def anchored_windows(seen: DataFrame, window: timedelta, chunk: int = 16) -> Dat
     """
     width = width_us(window)
     span = max(width, 1) * chunk
-    # One row per distinct (key, host, instant) already carries everything needed.
-    rows = (seen.groupBy("kind", "key", "host", "us").agg(F.min("seq").alias("seq"))
-            .withColumn("chunk", F.floor(F.col("us") / F.lit(span))))
+    rows = distinct_sightings(seen).withColumn("chunk", F.floor(F.col("us") / F.lit(span)))
     chunked = ["kind", "key", "chunk"]
 
     def tabulate(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -221,7 +225,8 @@ def anchored_windows(seen: DataFrame, window: timedelta, chunk: int = 16) -> Dat
 
 def fleet_signals(records: DataFrame, window: timedelta = SIGNAL_WINDOW, min_hosts: int = MIN_HOSTS) -> DataFrame:
     """A signal each time a key reaches ``min_hosts`` distinct hosts in its anchored window."""
-    seen = sightings(records)
+    # Read three times below: the reduced rows are written once instead of being recomputed.
+    seen = materialize(distinct_sightings(sightings(records)))
     hosts = seen.groupBy("kind", "key", "host").agg(F.lit(1).alias("one"))
     # Keys that never reach the host count cannot fire; most keys end here.
     wide = hosts.groupBy("kind", "key").count().filter(F.col("count") >= min_hosts).select("kind", "key")

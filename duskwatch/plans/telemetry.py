@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import EVENT, conform, normalize
+from ..session import tune
 
 K = "CAST(regexp_extract(props, '[0-9]+', 0) AS BIGINT)"
 
@@ -63,8 +64,7 @@ SPARK_US = "timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return tune(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def flat(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,6 +22,12 @@ def local_session(cores: str = "8", app: str = "duskwatch") -> SparkSession:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    return tune(spark)
+
+
+def tune(spark: SparkSession) -> SparkSession:
+    """The one session setting the operators rely on: date text is UTC."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark
 
 
