@@ -43,10 +43,11 @@ def fired_events(df: DataFrame, rules: list[dict]) -> DataFrame:
                                F.lit(r["technique"]["id"]).alias("technique_id"),
                                F.lit(r["risk_score"] or default[r["severity"]]).alias("risk"))
                       for i, r in enumerate(rules)])
-    numbers = F.array_compact(matched_rules(rules)) if rules else F.array().cast("array<int>")
-    # A one-element explode keeps the rule expression evaluated once: what follows refers
-    # to its output instead of repeating it.
-    hit = df.withColumn("_hits", F.explode(F.array(numbers))).filter(F.size("_hits") > 0)
+    numbers = matched_rules(rules) if rules else F.array().cast("array<int>")
+    # A one-element explode keeps the rule expression evaluated once, in generated code:
+    # what follows refers to its output instead of repeating it.
+    hit = df.withColumn("_all", F.explode(F.array(numbers)))
+    hit = hit.withColumn("_hits", F.array_compact("_all")).filter(F.size("_hits") > 0)
     full = F.transform("_hits", lambda i: F.get(facts, i))
     return hit.select(
         F.coalesce("host", F.lit("")).alias("host"), process_key().alias("process_key"), "ts",
