@@ -42,10 +42,10 @@ def drain(spark, out, name, tmp_path, mode="append"):
 
 def test_incidents_as_they_happen(spark, make, tmp_path):
     df = noisy(make)
-    got = drain(spark, stateful.stream_incidents(slices(spark, df, str(tmp_path / "in")), RULES, timedelta(seconds=200), 75), "inc", tmp_path)
-    want = correlate.incidents_of(correlate.fired_events(df, RULES), timedelta(seconds=200), 75)
+    got = drain(spark, stateful.stream_incidents(slices(spark, df, str(tmp_path / "in")), RULES, timedelta(seconds=200), 30), "inc", tmp_path)
+    want = correlate.incidents_of(correlate.fired_events(df, RULES), timedelta(seconds=200), 30)
     want = want.select("host", "process_key", micros("last_seen"), "seq", micros("first_seen"), "risk_score", "techniques", "rule_ids", "name", "pid")
-    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count() > 3
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count() > 1
 
 
 def test_signals_as_they_happen(spark, make, tmp_path):
