@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .detect import detect
@@ -18,10 +18,10 @@ def coverage_layer(rules: DataFrame) -> DataFrame:
     per = (rules.filter(F.coalesce(F.col("technique.id"), F.lit("")) != "")
            .groupBy(F.col("technique.id").alias("technique_id"))
            .agg(F.count("*").alias("score"), F.array_sort(F.collect_list("id")).alias("rule_ids")))
-    top = per.agg(F.greatest(F.max("score"), F.lit(1)).alias("max_score"))
+    # One row per technique of the rule table: a small, bounded window.
+    top = F.greatest(F.max("score").over(Window.partitionBy()), F.lit(1))
     comment = F.concat(F.col("score").cast("string"), F.lit(" rule(s): "), F.array_join("rule_ids", ", "))
-    # ``top`` is one row.
-    return per.crossJoin(F.broadcast(top)).select("technique_id", "score", comment.alias("comment"), "max_score")
+    return per.select("technique_id", "score", comment.alias("comment"), top.alias("max_score"))
 
 
 def tactic_matrix(rules: DataFrame) -> DataFrame:
@@ -29,11 +29,11 @@ def tactic_matrix(rules: DataFrame) -> DataFrame:
     tactic = F.coalesce(F.nullif("technique.tactic", F.lit("")), F.lit("uncategorized"))
     technique = F.coalesce(F.nullif("technique.id", F.lit("")), F.lit("—"))
     per = rules.groupBy(tactic.alias("tactic"), technique.alias("technique_id")).agg(F.count("*").alias("n"))
-    top = per.agg(F.greatest(F.max("n"), F.lit(1)).alias("top"))
+    top = F.greatest(F.max("n").over(Window.partitionBy()), F.lit(1))
     position = F.array_position(F.array(*[F.lit(t) for t in TACTIC_ORDER]), F.col("tactic")) - 1
-    return per.crossJoin(F.broadcast(top)).select(
+    return per.select(
         "tactic", "technique_id", "n", F.when(position < 0, 99).otherwise(position).cast("int").alias("position"),
-        (0.25 + 0.75 * F.col("n") / F.col("top")).alias("shade"))
+        (0.25 + 0.75 * F.col("n") / top).alias("shade"))
 
 
 def test_outcomes(rules: list[dict], fixtures: DataFrame) -> DataFrame:
