@@ -48,3 +48,17 @@ def chunks(texts: list[bytes | None], limit: int = 1 << 20) -> Iterator[tuple[in
         size += here
     if start < len(texts):
         yield start, len(texts)
+
+
+def let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once, also where lambdas refer to it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def without_space(c: Column) -> Column:
+    """The characters of words alone."""
+    return F.translate(c, " \t\n\x0b\x0c\r", "")
+
+
+def has_word(c: Column) -> Column:
+    return F.octet_length(without_space(c)) > 0

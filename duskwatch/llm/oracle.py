@@ -47,3 +47,61 @@ SELECT d.doc_id, coalesce(n, 0) AS n_shingles, c.component_id
 FROM documents d LEFT JOIN sizes USING (doc_id)
 JOIN (SELECT node, min(seen) AS component_id FROM reach GROUP BY node) c ON c.node = d.doc_id
 """
+
+ORACLE["op5_url_filters"] = r"""
+WITH rules(rhost, rpath, v) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+cut AS (
+  SELECT page_id, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
+named AS (
+  SELECT page_id, translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
+fit AS (
+  SELECT page_id, rhost || rpath AS rule, v,
+         row_number() OVER (PARTITION BY page_id ORDER BY length(rhost || rpath) DESC, length(rhost) DESC) AS k
+  FROM named JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath))
+SELECT named.page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM named LEFT JOIN fit ON fit.page_id = named.page_id AND k = 1
+"""
+
+ORACLE["op6_quality_rules"] = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+b AS (
+  SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w,
+         list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS ls FROM t),
+good AS (
+  SELECT *, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
+    list_filter(ls, lambda l: NOT (
+      20 * (length(l) - length(translate(l, '#*$%&|<>{}[]=~^_\!', ''))) > length(l)
+      OR (length(regexp_replace(l, '[\x20\x09-\x0D]+', '', 'g')) < 30 AND NOT regexp_matches(rtrim(l), '[.!?:;,…)\]"''”»。]$'))
+      OR length(l) - length(translate(l, '|»›•·', '')) >= 2
+      OR regexp_matches(lower(l), 'javascript|cookie policy|accept cookies|privacy policy|terms of use|terms of service|all rights reserved|click here|sign up for|subscribe to our|share this|read more|lorem ipsum'))) AS g
+  FROM b),
+win AS (
+  SELECT doc_id, i, array_to_string(w[i + 1 : i + 5], ' ') AS k
+  FROM (SELECT doc_id, w, unnest(range(len(w) - 4)) AS i FROM b WHERE len(w) >= 5)),
+twice AS (SELECT doc_id, k FROM win GROUP BY doc_id, k HAVING count(*) > 1),
+rep AS (
+  SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM win JOIN twice USING (doc_id, k)) GROUP BY doc_id),
+fig AS (
+  SELECT good.doc_id, len(w) AS n_words, word_chars, length(text) - length(translate(text, '#*$%&|<>', '')) AS n_symbols,
+         len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words,
+         word_chars - length(regexp_replace(array_to_string(g, ''), '[\x20\x09-\x0D]+', '', 'g')) AS lost_chars
+  FROM good LEFT JOIN rep USING (doc_id))
+SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND 100 * lost_chars <= 40 * word_chars AS kept FROM fig
+"""
+
+ORACLE["op10_line_dedup"] = r"""
+WITH l AS (
+  SELECT doc_id, ls[i + 1] AS l, i FROM (SELECT doc_id, ls, unnest(range(len(ls))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))),
+win AS (
+  SELECT doc_id, i AS s, lead(i, 2) OVER w AS e, concat(l, chr(10), lead(l, 1) OVER w, chr(10), lead(l, 2) OVER w) AS k
+  FROM l WHERE regexp_matches(l, '[^\x20\x09-\x0D]') WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id, s) AS r FROM win WHERE e IS NOT NULL),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s, e + 1)) AS i FROM ranked WHERE r > 1),
+rest AS (
+  SELECT l.doc_id, count(*) AS n_lines, count(gone.i) AS n_removed, string_agg(l.l, chr(10) ORDER BY l.i) FILTER (gone.i IS NULL) AS text
+  FROM l LEFT JOIN gone ON gone.doc_id = l.doc_id AND gone.i = l.i GROUP BY l.doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed,
+       CASE WHEN d.text IS NOT NULL THEN coalesce(rest.text, '') END AS text
+FROM documents d LEFT JOIN rest USING (doc_id)
+"""
