@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.telemetry import table
-from . import compression, decontaminate, jaccard, lines, pieces, quality, urls
+from . import compression, decontaminate, jaccard, language, lines, pieces, quality, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -72,3 +72,10 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = compression.fit(docs, table(spark, sf_dir, "labels"))
     return compression.score(docs, model).select(
         "doc_id", compression.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = language.predict(docs.select("doc_id", "text"), language.fit(docs))
+    return found.select("doc_id", compression.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
