@@ -10,8 +10,9 @@ share come last, by how many. In that order two sets of similarity t share one o
    the same prefix and size are one group.
 3. Groups that share a prefix shingle are candidates. A shingle of few groups gives pairs, which
    pass the size filter and the overlap bound (what the prefixes share, plus all that is left,
-   must reach the needed overlap). A shingle of many groups ties them to its smallest group, so
-   no shingle gives more rows than a multiple of its groups.
+   must reach the needed overlap). A shingle of many groups is cut by size; a size cell that is
+   still crowded ties its groups to its smallest, so no shingle gives more rows than a multiple
+   of its groups.
 4. Candidate groups are expanded into their distinct sets. Connected candidates are verified
    block by block: every pair of sets within a block pair is compared exactly, and the block
    pair returns a spanning forest of its links, not the links.
@@ -26,6 +27,7 @@ doc_id link with nothing and have no component; repeated rows are copies of each
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,10 +44,10 @@ from .grams import shingle_sets
 HINT = 1 << 18
 #: A shingle is counted for the hint where this many of about HINT_TOKENS shingles in a row are equal to it.
 HINT_LEAST, HINT_TOKENS = 4, 1 << 21
-#: Groups that share a prefix shingle up to which all their pairs are candidates.
-PAIRS = 48
-#: Sets in a block of the verification.
-BLOCK = 384
+#: Groups that share a prefix shingle up to which all their pairs are candidates; likewise of one size band.
+PAIRS, CELL_PAIRS = 48, 96
+#: Sets and shingles in a block of the verification.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 21
 
 
 def needed(n: int, percent: int) -> int:
@@ -232,18 +234,27 @@ def _candidates(groups: DataFrame, percent: int, shelf: Shelf) -> DataFrame:
     post = groups.select(F.explode("prefix").alias("token"), "gid", "n")
     known = post.groupBy("token").agg(F.count("*").alias("df"), F.min("gid").alias("least")).filter("df > 1")
     post = shelf.save(post.join(known, "token"), "postings")
-    few = post.filter(F.col("df") <= PAIRS).select("token", "gid", "n")
+    # A frequent shingle is cut by size: linked sets lie in the same size band or neighbouring ones,
+    # so every set joins its own band's cell and the one below.
+    band = F.floor(F.log("n") / (-math.log(percent / 100) * 1.001)).cast("int")
+    often = post.filter(F.col("df") > PAIRS).select("token", "gid", "n", band.alias("band")).withColumn("cell", F.explode(F.array("band", F.col("band") - 1)))
+    cells = often.groupBy("token", "cell").agg(F.count("*").alias("held"), F.min("gid").alias("first")).filter("held > 1")
+    often = shelf.save(often.join(cells, ["token", "cell"]), "cells")
+    few = post.filter(F.col("df") <= PAIRS).select("token", F.lit(None).cast("int").alias("cell"), "gid", "n", F.lit(None).cast("int").alias("band"))
+    few = few.union(often.filter(F.col("held") <= CELL_PAIRS).select("token", "cell", "gid", "n", "band"))
     a, b = few.alias("a"), few.alias("b")
     low, high = F.least("a.n", "b.n"), F.greatest("a.n", "b.n")
-    pairs = a.join(b, F.col("a.token") == F.col("b.token")).filter("a.gid < b.gid").filter(100 * low >= percent * high)
+    once = F.col("a.cell").isNull() | (F.col("a.cell") == F.least("a.band", "b.band"))
+    pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & F.col("a.cell").eqNullSafe(F.col("b.cell"))) \
+        .filter("a.gid < b.gid").filter(100 * low >= percent * high).filter(once)
     pairs = pairs.select(F.col("a.gid").alias("a"), F.col("b.gid").alias("b"), low.alias("low"), high.alias("high")) \
         .groupBy("a", "b", "low", "high").agg(F.count("*").alias("shared"))
     # Beyond its prefix a set of n has needed(n) - 1 shingles; the prefix that ends first bounds the overlap.
-    rest = F.ceil(F.col("high") * percent / 100) - 1
-    overlap = F.ceil((F.col("low") + F.col("high")) * percent / (100 + percent))
-    # Pairs that also share a frequent shingle are tied by it, whatever they share here.
+    rest = F.floor((F.col("high") * percent + 99) / 100) - 1
+    overlap = F.floor(((F.col("low") + F.col("high")) * percent + (99 + percent)) / (100 + percent))
+    # Pairs that also share a shingle of a crowded cell are tied by it, whatever they share here.
     pairs = pairs.filter(F.col("shared") + rest >= overlap).select("a", "b")
-    many = post.filter(F.col("df") > PAIRS).filter("gid != least").select(F.col("gid").alias("a"), F.col("least").alias("b"))
+    many = often.filter(F.col("held") > CELL_PAIRS).filter("gid != first").select(F.col("gid").alias("a"), F.col("first").alias("b"))
     return pairs.union(many).distinct()
 
 
@@ -268,7 +279,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     wide = groups.select("gid", "grp", "n", "several").join(near.withColumnRenamed("node", "gid"), "gid", "left") \
         .filter("root is not null or several").select("grp", "n", F.coalesce("root", "gid").alias("root"))
     members = shelf.save(classes.join(wide, ["grp", "n"]), "members")
-    sizes = members.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).filter(F.count("*") > 1)
+    sizes = members.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")).filter(F.count("*") > 1)
     chosen = shelf.save(members.join(sizes, "root").select(F.col("class_id").alias("doc_id"), "key_a", "key_b", "root", "blocks"), "chosen")
     sets = _bodies(docs).join(sendable(chosen), "doc_id").mapInArrow(_expanded(size), "doc_id long, root long, blocks int, tokens binary")
     block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
