@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.telemetry import table
-from . import compression, decontaminate, jaccard, language, lines, pieces, quality, urls
+from . import compression, decontaminate, jaccard, language, lines, pieces, pseudonyms, quality, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -79,3 +79,14 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     found = language.predict(docs.select("doc_id", "text"), language.fit(docs))
     return found.select("doc_id", compression.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+#: The key of the query; a deployment takes its own from its secret store.
+PSEUDONYM_KEY = "key of the registered query"
+
+
+@query
+def op4_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = pseudonyms.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PSEUDONYM_KEY)
+    return docs.select("doc_id", F.size("replaced").cast("long").alias("n_replaced"),
+                       *(F.size(F.filter("replaced", lambda v, k=k: v["kind"] == k)).cast("long").alias(f"n_{k}") for k in pseudonyms.KINDS), "text")
