@@ -214,6 +214,11 @@ def pseudonymise(docs: DataFrame, key: str, inverse: bool = False) -> DataFrame:
                       F.coalesce(replaced, empty).alias("replaced"))
 
 
+def count_of(kind: str) -> Column:
+    """How many values of a kind a row of ``pseudonymise`` has."""
+    return F.size(F.filter("replaced", lambda v: v["kind"] == kind)).cast("long")
+
+
 def restore(docs: DataFrame, key: str) -> DataFrame:
     """The texts as they were before ``pseudonymise`` with the same key (letters of names and keys in lower case)."""
     return pseudonymise(docs, key, inverse=True)

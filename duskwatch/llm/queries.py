@@ -89,4 +89,4 @@ PSEUDONYM_KEY = "key of the registered query"
 def op4_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = pseudonyms.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PSEUDONYM_KEY)
     return docs.select("doc_id", F.size("replaced").cast("long").alias("n_replaced"),
-                       *(F.size(F.filter("replaced", lambda v, k=k: v["kind"] == k)).cast("long").alias(f"n_{k}") for k in pseudonyms.KINDS), "text")
+                       *(pseudonyms.count_of(k).alias(f"n_{k}") for k in pseudonyms.KINDS), "text")
