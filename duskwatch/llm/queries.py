@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.telemetry import table
-from . import compression, decontaminate, jaccard, language, lines, pieces, pseudonyms, quality, urls
+from . import compression, decontaminate, jaccard, language, licenses, lines, pieces, pseudonyms, quality, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -90,3 +90,10 @@ def op4_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = pseudonyms.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PSEUDONYM_KEY)
     return docs.select("doc_id", F.size("replaced").cast("long").alias("n_replaced"),
                        *(pseudonyms.count_of(k).alias(f"n_{k}") for k in pseudonyms.KINDS), "text")
+
+
+@query
+def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.size("families").cast("long").alias("n_families"), F.array_join("families", ",").alias("families"),
+                        F.coalesce(F.array_size("spans"), F.lit(0)).cast("long").alias("n_paragraphs"))
