@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from duskwatch.llm import decontaminate, jaccard, lines, pieces, quality
-from duskwatch.llm.common import has_word
 from duskwatch.llm.queries import PIECE_MODEL
 from duskwatch.plans.telemetry import table
 from duskwatch.session import Shelf
@@ -31,8 +30,7 @@ def keep_good_lines_and_documents(spark: SparkSession, docs: DataFrame, sf_dir:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later occurrences of three-line windows are cut out; a document that had nothing else goes."""
-    cut = lines.dedup_lines(docs)
-    return _recount(cut.filter((F.col("n_removed") == 0) | has_word(F.col("text"))).select(*docs.columns))
+    return _recount(lines.without_repeats(docs))
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

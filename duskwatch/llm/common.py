@@ -28,6 +28,19 @@ def sendable(df: DataFrame, rows: int = SEND_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def packed(docs: DataFrame, *columns: str | Column, apart: str | None = None) -> DataFrame:
+    """``docs`` as one struct ``_row`` with the named columns beside it, so no other column can clash with an operator's
+    own. A column ``apart`` is only beside it, and has to be given back to ``unpacked``."""
+    row = F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in docs.columns if c != apart))
+    return docs.select(row.alias("_row"), *columns, *([apart] if apart else []))
+
+
+def unpacked(rows: DataFrame, columns: list[str], **new: Column) -> DataFrame:
+    """The columns of ``_row``, those named in ``new`` replaced, then the rest of ``new``."""
+    own = [new[c].alias(c) if c in new else F.col(f"_row.`{c}`") for c in columns]
+    return rows.select(*own, *(v.alias(c) for c, v in new.items() if c not in columns))
+
+
 def lower_ascii(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import Shelf
-from .common import LOWER, UPPER, chunks, lower_ascii, sendable, small_batches
+from .common import chunks, lower_ascii, packed, sendable, small_batches, unpacked
 
 #: Words, after lower-casing A-Z: digits, letters and everything beyond ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -195,6 +195,6 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFr
     """The rows of ``docs`` in which no window of the benchmark occurs."""
     _, hits = occurrences(docs, benchmark, window)
     bad = Shelf(docs.sparkSession).save(hits.select("doc_id", "text_key").distinct(), "contaminated")
-    key = docs.withColumn("_text_key", F.xxhash64("text")).alias("d")
-    match = F.col("d.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("d._text_key") == F.col("b.text_key"))
-    return key.join(sendable(bad).alias("b"), match, "left_anti").drop("_text_key")
+    rows = packed(docs, "doc_id", F.xxhash64("text").alias("text_key")).alias("d")
+    match = F.col("d.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("d.text_key") == F.col("b.text_key"))
+    return unpacked(rows.join(sendable(bad).alias("b"), match, "left_anti"), docs.columns)

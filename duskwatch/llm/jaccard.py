@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import Shelf
-from .common import chunks, sendable, small_batches
+from .common import chunks, packed, sendable, small_batches, unpacked
 from .components import components
 from .grams import shingle_sets
 
@@ -305,11 +305,11 @@ def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     first = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "text_key")).alias("first"))
     gone = found.join(first, "component_id").filter(F.struct("doc_id", "text_key") != F.col("first"))
     gone = shelf.save(gone.select("doc_id", "text_key").distinct(), "gone")
-    keyed = docs.withColumn("_text_key", F.xxhash64("text")).alias("d")
-    match = (F.col("d.doc_id") == F.col("k.doc_id")) & (F.col("d._text_key") == F.col("k.text_key"))
-    kept = keyed.join(sendable(gone).alias("k"), match, "left_anti")
+    rows = packed(docs, "doc_id", F.xxhash64("text").alias("text_key")).alias("d")
+    match = (F.col("d.doc_id") == F.col("k.doc_id")) & (F.col("d.text_key") == F.col("k.text_key"))
+    kept = rows.join(sendable(gone).alias("k"), match, "left_anti")
     again = shelf.save(found.groupBy("doc_id", "text_key").count().filter("count > 1").select("doc_id", "text_key"), "again")
     if not again.take(1):
-        return kept.drop("_text_key")
-    once = kept.alias("d").join(sendable(again).alias("k"), match, "left_semi").dropDuplicates(["doc_id", "_text_key"])
-    return kept.alias("d").join(sendable(again).alias("k"), match, "left_anti").unionByName(once).drop("_text_key")
+        return unpacked(kept, docs.columns)
+    once = kept.alias("d").join(sendable(again).alias("k"), match, "left_semi").dropDuplicates(["doc_id", "text_key"])
+    return unpacked(kept.alias("d").join(sendable(again).alias("k"), match, "left_anti").unionByName(once), docs.columns)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import Shelf
-from .common import has_word, let, sendable
+from .common import has_word, let, packed, sendable, unpacked
 
 WINDOW = 3
 
@@ -52,14 +52,19 @@ def repeated_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``docs`` with later occurrences cut out of ``text``, and the columns n_lines and n_removed."""
+    """``docs`` with later occurrences cut out of ``text``, and the columns n_lines and n_removed (in place of such columns of ``docs``)."""
     gone = sendable(repeated_lines(docs, window), 200_000).alias("g")
-    keyed = docs.withColumn("_text_key", F.xxhash64("text")).alias("d")
-    match = F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("d._text_key") == F.col("g.text_key"))
+    rows = packed(docs, "doc_id", F.xxhash64("text").alias("text_key"), apart="text").alias("d")
+    match = F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("d.text_key") == F.col("g.text_key"))
     cut = let(F.split("d.text", "\n"), lambda lines: F.array_join(F.transform(
         F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("g.gone")), lambda i: F.get(lines, i)), "\n"))
     text = F.when(F.col("g.gone").isNull(), F.col("d.text")).otherwise(cut)
-    return keyed.join(gone, match, "left").select(
-        *(text.alias("text") if c == "text" else F.col(f"d.`{c}`") for c in docs.columns),
-        F.coalesce(F.array_size(F.split("d.text", "\n")), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.array_size("g.gone"), F.lit(0)).cast("long").alias("n_removed"))
+    return unpacked(rows.join(gone, match, "left"), docs.columns, text=text,
+                    n_lines=F.coalesce(F.array_size(F.split("d.text", "\n")), F.lit(0)).cast("long"),
+                    n_removed=F.coalesce(F.array_size("g.gone"), F.lit(0)).cast("long"))
+
+
+def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The columns of ``docs`` alone, without documents of which nothing is left."""
+    cut = dedup_lines(packed(docs, "doc_id", apart="text"), window).filter((F.col("n_removed") == 0) | has_word(F.col("text")))
+    return unpacked(cut, docs.columns, text=F.col("text"))

@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import let, packed, unpacked
 
 ROUNDS = 8
 #: Days from 1900-01-01 that dates are permuted among: 272 * 272.
@@ -196,10 +196,10 @@ def _replace(m: Column, kind: Column, c: Cipher) -> Column:
 
 
 def pseudonymise(docs: DataFrame, key: str, inverse: bool = False) -> DataFrame:
-    """``docs`` with ``text`` rewritten and ``replaced``: an array of (kind, new) in order."""
+    """``docs`` with ``text`` rewritten and ``replaced`` (in place of such a column): an array of (kind, new) in order."""
     cipher = Cipher(key, inverse)
     found = F.when(F.col("text").rlike(HINT), F.regexp_extract_all("text", F.lit(f"({ANY})"), F.lit(1)))
-    out = docs.withColumn("_found", F.when(F.array_size(found) > 0, found))
+    out = packed(docs, apart="text").withColumn("_found", F.when(F.array_size(found) > 0, found))
 
     def value(m):
         return let(_kind(m), lambda k: let(_replace(m, k, cipher), lambda v: F.struct(k.alias("kind"), m.alias("old"), v.alias("new"))))
@@ -210,8 +210,7 @@ def pseudonymise(docs: DataFrame, key: str, inverse: bool = False) -> DataFrame:
     text = F.when(F.col("_found").isNull(), F.col("text")).otherwise(joined)
     replaced = F.transform(F.filter("_values", lambda v: v["new"].isNotNull()), lambda v: F.struct(v["kind"].alias("kind"), v["new"].alias("new")))
     empty = F.array().cast("array<struct<kind:string,new:string>>")
-    return out.select(*(text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c != "replaced"),
-                      F.coalesce(replaced, empty).alias("replaced"))
+    return unpacked(out, docs.columns, text=text, replaced=F.coalesce(replaced, empty))
 
 
 def count_of(kind: str) -> Column:

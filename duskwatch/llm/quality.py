@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import has_word, let, split_words, without_space
+from .common import has_word, let, packed, split_words, unpacked, without_space
 
 MIN_WORDS = 10
 MAX_REPEATED = 20
@@ -68,24 +68,25 @@ def line_fails(line: Column) -> Column:
 
 
 def judge(docs: DataFrame) -> DataFrame:
-    """``docs`` with the base figures, ``cleaned`` (its text without failing lines), lost_chars, base_failed and kept."""
+    """``docs`` with the base figures, ``cleaned`` (its text without failing lines), lost_chars, base_failed and kept
+    (in place of such columns of ``docs``)."""
     text = F.coalesce("text", F.lit(""))
-    out = docs.withColumn("_words", split_words(text)).withColumn("_lines", F.filter(F.split(text, "\n"), has_word)) \
+    out = packed(docs, apart="text").withColumn("_words", split_words(text)).withColumn("_lines", F.filter(F.split(text, "\n"), has_word)) \
         .withColumn("_good", F.filter("_lines", lambda l: ~line_fails(l)))
     word_chars = F.length(without_space(text))
     good_chars = F.length(without_space(F.array_join("_good", "")))
     out = out.select(
-        *docs.columns, F.size("_words").cast("long").alias("n_words"), word_chars.cast("long").alias("word_chars"),
+        "_row", "text", F.size("_words").cast("long").alias("n_words"), word_chars.cast("long").alias("word_chars"),
         _count(text, SYMBOLS).cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         repeated_words(F.col("_words")).cast("long").alias("n_repeat_words"),
         F.array_join("_good", "\n").alias("cleaned"), (word_chars - good_chars).cast("long").alias("lost_chars"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
-    return out.withColumn("base_failed", failed).withColumn(
-        "kept", ~failed & (100 * F.col("lost_chars") <= LOSS * F.col("word_chars")))
+    new = {c: F.col(c) for c in out.columns if c != "_row"}
+    kept = ~failed & (100 * F.col("lost_chars") <= LOSS * F.col("word_chars"))
+    return unpacked(out, docs.columns, **new, base_failed=failed, kept=kept)
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are kept, with failing lines removed from ``text``."""
-    judged = judge(docs).filter("kept")
-    return judged.select(*(F.col("cleaned").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns))
+    return unpacked(judge(packed(docs, apart="text")).filter("kept"), docs.columns, text=F.col("cleaned"))

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, lower_ascii
+from .common import let, lower_ascii, packed, unpacked
 
 
 
@@ -55,8 +55,8 @@ def expressions(urls: DataFrame, lengths: list[int]) -> DataFrame:
 
 
 def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", url: str = "url") -> DataFrame:
-    """``pages`` with host, path, rule (null where none fits) and verdict. ``max`` of allow and block is block."""
-    named = pages.withColumn("host", host_of(F.col(url))).withColumn("path", path_of(F.col(url)))
+    """``pages`` with host, path, rule (null where none fits) and verdict, in place of such columns of ``pages``."""
+    named = packed(pages, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     table = rule_table(rules)
     # One row for each length that paths of rules have: a few numbers.
     lengths = sorted(r[0] for r in table.select(F.length("r_path")).distinct().collect()) or [0]
@@ -64,5 +64,6 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", url:
         .filter(F.col("digest") == F.col("full"))
     best = known.groupBy("host", "path").agg(F.max(F.struct(F.length("rule").alias("n"), F.length("r_host").alias("h"), "verdict", "rule")).alias("best")) \
         .select(F.col("host").alias("_host"), F.col("path").alias("_path"), "best.rule", F.col("best.verdict").alias("_verdict"))
-    return named.join(best, (F.col("host") == F.col("_host")) & (F.col("path") == F.col("_path")), "left") \
-        .withColumn("verdict", F.coalesce("_verdict", F.lit(default))).drop("_host", "_path", "_verdict")
+    joined = named.join(best, (F.col("host") == F.col("_host")) & (F.col("path") == F.col("_path")), "left")
+    return unpacked(joined, pages.columns, host=F.col("host"), path=F.col("path"), rule=F.col("rule"),
+                    verdict=F.coalesce("_verdict", F.lit(default)))
