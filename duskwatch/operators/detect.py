@@ -55,16 +55,17 @@ def matched_rules(rules: list[dict]) -> Column:
 def detect(df: DataFrame, rules: list[dict]) -> DataFrame:
     """Every rule against every event: event columns plus a ``rule`` struct.
 
-    One narrow pass; the metadata join broadcasts the rule list itself, which the
-    caller already holds on the driver.
+    One narrow pass, then a join with the rule list, which the caller holds on the driver.
     """
     spark = df.sparkSession
     if not rules:
         return df.withColumn("rule", F.lit(None).cast(RULE)).filter(F.lit(False))
     meta = rule_frame(spark, rules)
     meta = meta.select(F.col("ord").alias("_rule"), F.struct(*meta.columns).alias("rule"))
-    hits = df.withColumn("_rule", F.explode(matched_rules(rules))).filter(F.col("_rule").isNotNull())
-    return hits.join(F.broadcast(meta), "_rule").drop("_rule")
+    # Few events match: what is exploded holds only the numbers of matching rules.
+    hits = df.withColumn("_hits", F.array_compact(matched_rules(rules))).filter(F.size("_hits") > 0)
+    hits = hits.withColumn("_rule", F.explode("_hits")).drop("_hits")
+    return hits.join(meta, "_rule").drop("_rule")
 
 
 def alert_risk(rule: str = "rule") -> Column:

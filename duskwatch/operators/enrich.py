@@ -12,7 +12,6 @@ from .joins import lookup_join
 from .ordered import BUCKET, nearest, time_bucket
 
 LIFECYCLE = ("exec", "exec_blocked", "fork", "exit")
-ANCESTRY_DEPTH = 16
 
 
 def lifecycle(df: DataFrame) -> DataFrame:
@@ -68,34 +67,38 @@ def with_start(df: DataFrame, bucket: timedelta = BUCKET) -> DataFrame:
     return hit.withColumn("process", F.col("process").withField("start_time_ns", start)).drop("_pid", "_self")
 
 
-def ancestry(df: DataFrame, depth: int = ANCESTRY_DEPTH, bucket: timedelta = BUCKET) -> DataFrame:
+def ancestry(df: DataFrame, depth: int | None = None, bucket: timedelta = BUCKET) -> DataFrame:
     """(host, seq, ancestors): process names up the parent chain as of each event.
 
     One as-of lookup per level over rows that are still climbing; each level is cut with
-    a reliable checkpoint and the climb stops when no row is left.
+    a reliable checkpoint and the climb stops when no row is left. A chain ends where it comes
+    back to a process it has passed (reused process numbers can close a ring); ``depth`` asks
+    for the nearest ancestors only.
     """
     updates = materialize(lifecycle(df))
     frontier = df.select("host", "ts", "seq", F.coalesce("process.pid", F.lit(0)).alias("_own"),
                          F.coalesce("process.ppid", F.lit(0)).alias("_pid"))
-    levels = []
-    for level in range(depth):
-        frontier = frontier.filter((F.col("_pid") != 0) & (F.col("_pid") != F.col("_own")))
+    frontier = frontier.withColumn("_passed", F.array("_own"))
+    levels, level = [], -1
+    while depth is None or level + 1 < depth:
+        level += 1
+        frontier = frontier.filter((F.col("_pid") != 0) & ~F.array_contains("_passed", F.col("_pid")))
         hit = materialize(process_as_of(frontier, updates, "_up", bucket).filter("_up is not null"))
         if hit.isEmpty():
             break
         levels.append(hit.select("host", "seq", F.lit(level).alias("level"), F.col("_up.name").alias("name")))
-        frontier = hit.select("host", "ts", "seq", "_own", F.col("_up.ppid").alias("_pid"))
+        frontier = hit.select("host", "ts", "seq", F.col("_up.ppid").alias("_pid"), F.array_append("_passed", F.col("_pid")).alias("_passed"))
     if not levels:
         return df.select("host", "seq", F.array().cast("array<string>").alias("ancestors")).filter(F.lit(False))
     steps = levels[0]
     for more in levels[1:]:
         steps = steps.unionByName(more)
-    # At most ``depth`` rows per event.
+    # One row per ancestor of an event.
     return steps.groupBy("host", "seq").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("level", "name"))), lambda s: s["name"]).alias("ancestors"))
 
 
-def with_ancestry(df: DataFrame, depth: int = ANCESTRY_DEPTH, bucket: timedelta = BUCKET) -> DataFrame:
+def with_ancestry(df: DataFrame, depth: int | None = None, bucket: timedelta = BUCKET) -> DataFrame:
     chains = ancestry(df, depth, bucket).withColumnRenamed("ancestors", "_chain")
     return (df.join(chains, ["host", "seq"], "left")
             .withColumn("process", F.col("process").withField("ancestors", F.col("_chain"))).drop("_chain"))

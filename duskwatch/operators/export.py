@@ -226,7 +226,10 @@ def alert_id(*parts: str | Column) -> Column:
 def flatten_alerts(alerts: DataFrame) -> DataFrame:
     """The 15-column fleet record of each alert, plus ``seq``."""
     return alerts.select(
-        alert_id(F.lit("alert"), "host", "seq", micros("ts"), "rule.id", "rule.ord").alias("id"),
+        # What happened and which rule said so: other rules, files or a replay don't change it.
+        alert_id(F.lit("alert"), _text("host"), micros("ts"), "rule.id", _text("action"), _num("process.pid"), _num("process.ppid"),
+                 _text("process.name"), _text("process.executable"), _text("process.command_line"), _text("file.path"), _text("file.target"),
+                 _text("network.dst_ip"), _num("network.dst_port"), _text("network.domain")).alias("id"),
         _text("host").alias("agent_id"), _text("host").alias("hostname"), F.col("ts").alias("time"),
         F.col("rule.id").alias("rule_id"), F.col("rule.name").alias("rule_name"),
         F.col("rule.severity").alias("severity"), F.col("rule.technique.id").alias("technique_id"),

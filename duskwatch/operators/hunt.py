@@ -22,16 +22,12 @@ def _as_filter(where) -> Column:
     return F.coalesce(F.expr(where) if isinstance(where, str) else where, F.lit(False))
 
 
-def hunt(df: DataFrame, cls: str = "any", *where, limit: int | None = None,
-         scan_cap: int | None = None) -> DataFrame:
+def hunt(df: DataFrame, cls: str = "any", *where, limit: int | None = None) -> DataFrame:
     """Events of a class passing every filter, newest first.
 
-    A filter is a Column, a Spark SQL predicate or a condition tree.  The scan is not
-    capped unless ``scan_cap`` asks for the newest rows of the class only.
+    A filter is a Column, a Spark SQL predicate or a condition tree.
     """
     rows = df.filter(event_class(cls))
-    if scan_cap:
-        rows = newest_first(rows, scan_cap)
     for part in where:
         rows = rows.filter(_as_filter(part))
     return newest_first(rows, limit if limit and limit > 0 else None)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fields import base_name
@@ -14,8 +14,6 @@ from .enrich import tactic_index
 from .joins import lookup_join
 from .ordered import newest_first
 
-TRIAGE_ALERTS, HISTORY_LIMIT = 50, 100
-
 
 def _some(path: str) -> Column:
     return F.nullif(F.col(path), F.lit(""))
@@ -204,8 +202,8 @@ def timeline(records: DataFrame, host: str | None = None) -> DataFrame:
 
 def query_alerts(records: DataFrame, host: str = "", severity: str = "", technique: str = "",
                  since: datetime | None = None, until: datetime | None = None, incidents_only: bool = False,
-                 limit: int | None = HISTORY_LIMIT) -> DataFrame:
-    """Alert history, newest first; bounds are inclusive."""
+                 limit: int | None = None) -> DataFrame:
+    """Alert history, newest first; bounds are inclusive. All of it, unless ``limit`` asks for a page."""
     for name, value in (("hostname", host), ("severity", severity), ("technique_id", technique)):
         if value:
             records = records.filter(F.col(name) == value)
@@ -222,12 +220,13 @@ def alert_by_id(records: DataFrame, id: str) -> DataFrame:
     return records.filter(F.col("id") == id)
 
 
-def host_context(records: DataFrame, rules: DataFrame, keep: int = TRIAGE_ALERTS) -> DataFrame:
-    """Per host, its ``keep`` newest alerts folded: techniques in order of appearance, counts."""
-    newest = Window.partitionBy("hostname").orderBy(F.col("time").desc(), F.col("seq").desc(), F.col("id"))
-    # The row_number filter keeps ``keep`` rows per host before the shuffle too.
-    recent = records.withColumn("rn", F.row_number().over(newest)).filter(F.col("rn") <= keep)
-    return fold_context(recent.withColumn("subject", F.col("hostname")).withColumn("ord", F.col("rn")), rules)
+def host_context(records: DataFrame, rules: DataFrame) -> DataFrame:
+    """Per host, all its alerts folded: techniques in order of appearance from the newest on, counts.
+
+    The order is a value of the row, not a row number, so no window gathers a host.
+    """
+    newest = F.struct((-micros("time")).alias("time"), (-F.col("seq")).alias("seq"), F.col("id").alias("id"))
+    return fold_context(records.withColumn("subject", F.col("hostname")).withColumn("ord", newest), rules)
 
 
 def fold_context(rows: DataFrame, rules: DataFrame) -> DataFrame:
@@ -252,7 +251,7 @@ def fold_context(rows: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def triage_context(targets: DataFrame, records: DataFrame, rules: DataFrame) -> DataFrame:
-    """Each target alert with the folded recent history of its host."""
+    """Each target alert with the folded history of its host."""
     hosts = targets.select("hostname").distinct()
     context = (host_context(records.join(hosts, "hostname", "left_semi"), rules)
                .select(F.col("subject").alias("hostname"), "techniques", "alerts", "high_alerts"))

@@ -100,9 +100,12 @@ def match_playbooks(records: DataFrame, books: list[dict]) -> DataFrame:
     narrow pass, so no row pairs are formed; only matches are expanded.
     """
     spark = records.sparkSession
-    live = [b for b in books if b["mode"] != "off"]
     for book in books:
         check_playbook(book)
+    ids = [b["id"] for b in books]
+    if len(set(ids)) < len(ids):
+        raise ValueError(f"playbook ids are not unique: {sorted({i for i in ids if ids.count(i) > 1})}")
+    live = [b for b in books if b["mode"] != "off"]
     tests = []
     for number, book in enumerate(live):
         t = book.get("trigger") or {}
@@ -118,10 +121,11 @@ def match_playbooks(records: DataFrame, books: list[dict]) -> DataFrame:
         tests.append(F.when(test, F.lit(number)))
     numbers = F.array(*tests) if tests else F.array().cast("array<int>")
     table = playbook_frame(spark, live)
-    numbered = spark.createDataFrame([(i, b["id"]) for i, b in enumerate(live)], "_book int, id string") \
-        .join(table, "id").select("_book", F.struct(*table.columns).alias("playbook"))
-    hits = records.withColumn("_book", F.explode(numbers)).filter("_book is not null")
-    return hits.join(F.broadcast(numbered), "_book").drop("_book")
+    # The id is unique, so the number's id is all that a match needs to find its playbook.
+    named = F.get(F.array(*[F.lit(b["id"]) for b in live]), F.col("_book")) if live else F.lit(None).cast("string")
+    hits = records.withColumn("_book", F.explode(F.array_compact(numbers))).withColumn("_id", named).drop("_book")
+    books_by_id = table.select(F.col("id").alias("_id"), F.struct(*table.columns).alias("playbook"))
+    return hits.join(books_by_id, "_id").drop("_id")
 
 
 def expand_steps(matches: DataFrame, force_dry_run: bool = False) -> DataFrame:

@@ -149,7 +149,7 @@ def _alerts_cte(rules, source="tel", name="alerts", rule_table="rules") -> str:
 RULES_CTE = _rules_cte(S.RULES)
 ALERTS = f"{TEL},\n{RULES_CTE},\n{_alerts_cte(S.RULES)}"
 RECORDS = ALERTS + """,
-records AS MATERIALIZED (SELECT substring(sha256(concat_ws(chr(31), 'alert', host, seq, us, rule_id, ord)), 1, 32) AS id,
+records AS MATERIALIZED (SELECT substring(sha256(concat_ws(chr(31), 'alert', host, us, rule_id, action, pid, ppid, name, executable, command_line, path, target, dst_ip, dst_port, domain)), 1, 32) AS id,
   host AS hostname, us, seq, rule_id, rule_name, severity, technique_id, technique_name, pid, name AS process_name,
   executable AS process_executable, dst_ip AS destination_ip, CAST(risk AS BIGINT) AS risk_score, false AS is_incident
   FROM alerts)"""
@@ -264,8 +264,7 @@ edges AS MATERIALIZED (SELECT DISTINCT * FROM (
   FROM tel WHERE path <> '' OR (action = 'dns' AND domain <> '') OR dst_ip <> ''))"""
 
 _CTX = """
-recent AS (SELECT *, row_number() OVER (PARTITION BY hostname ORDER BY us DESC, seq DESC, id) AS rn FROM records
-  QUALIFY rn <= 50),
+recent AS (SELECT *, row_number() OVER (PARTITION BY hostname ORDER BY us DESC, seq DESC, id) AS rn FROM records),
 tech AS (SELECT r.hostname, r.technique_id, min(rn) AS rn, arg_min(r.technique_name, rn) AS tname,
   max(t.tactic) AS tactic FROM recent r JOIN (SELECT technique_id AS tid, arg_max(tactic, ord) AS tactic FROM rules GROUP BY 1) t
   ON t.tid = r.technique_id WHERE r.technique_id <> '' GROUP BY ALL),
@@ -283,7 +282,7 @@ def _advice(host: str, process: str, pid: str, tactic: str) -> str:
 _PAGE = "CASE doc_id % 12 " + " ".join(
     f"WHEN {i} THEN '/{p}/{n}'" for i, (p, n) in enumerate((p, n) for p in ("usr/bin", "tmp") for n in
                                                           ("bash", "nginx", "curl", "whoami", "ssh", "python3"))) + " END"
-_FILES = f"files AS (SELECT {_PAGE} AS fpath, arg_min(text, doc_id) AS content FROM documents GROUP BY 1)"
+_FILES = f"files AS (SELECT concat({_PAGE}, '-', doc_id // 12) AS fpath, text AS content FROM documents)"
 
 
 def _scan(col: str, html: bool = False) -> str:
@@ -597,10 +596,10 @@ def build() -> dict[str, str]:
         "user_names": f"WITH {TEL} SELECT seq, CASE WHEN user_name <> '' THEN user_name ELSE coalesce(n_name, '') END AS user_name FROM tel LEFT JOIN nation ON n_nationkey = uid",
         "container_parse": f"WITH {TEL} SELECT seq, regexp_extract(cgroup, '[0-9a-f]{{64}}|[0-9a-f]{{32}}') AS container_id, CASE WHEN regexp_extract(cgroup, '[0-9a-f]{{64}}|[0-9a-f]{{32}}') = '' THEN '' WHEN contains(cgroup, 'docker') THEN 'docker' WHEN contains(cgroup, 'kubepods') THEN 'containerd' ELSE '' END AS runtime FROM tel",
         "content_hash": "SELECT page_id, sha256(html) AS sha256 FROM pages",
-        "executable_hash": f"WITH {TEL}, {_FILES} SELECT seq, CASE WHEN t.sha256 <> '' THEN t.sha256 WHEN action = 'exec' THEN coalesce(sha256(content), '') ELSE '' END AS sha256 FROM tel t LEFT JOIN files ON fpath = executable",
+        "executable_hash": f"WITH {TEL}, {_FILES} SELECT seq, CASE WHEN t.sha256 <> '' THEN t.sha256 WHEN action = 'exec' THEN coalesce(sha256(content), '') ELSE '' END AS sha256 FROM tel t LEFT JOIN files ON executable <> '' AND fpath = concat(executable, '-', seq // 120)",
         "content_scan_text": f"SELECT doc_id, {TEXT_NAMES} AS matches FROM documents",
         "content_scan_html": f"SELECT page_id, {HTML_NAMES} AS matches FROM pages",
-        "signature_alerts": f"WITH {TEL}, {_FILES} SELECT seq, 'R-0073' AS rule_id, matches FROM tel JOIN (SELECT fpath, {FILE_NAMES} AS matches FROM files) ON fpath = executable WHERE action = 'exec' AND matches <> ''",
+        "signature_alerts": f"WITH {TEL}, {_FILES} SELECT seq, 'R-0073' AS rule_id, matches FROM tel JOIN (SELECT fpath, {FILE_NAMES} AS matches FROM files) ON executable <> '' AND fpath = concat(executable, '-', seq // 120) WHERE action = 'exec' AND matches <> ''",
         "tactic_lookup": f"WITH {_PART_RULES} SELECT technique_id, arg_max(tactic, id) AS tactic FROM prules WHERE technique_id <> '' GROUP BY 1",
         "allowlist": f"WITH {ALERTS} SELECT seq, rule_id, executable IN {_ALLOW} AS suppressed FROM alerts",
         "baseline": f"WITH {TEL} SELECT category, key, count(*)::BIGINT AS n FROM ({_features()}) GROUP BY ALL",
@@ -612,7 +611,7 @@ def build() -> dict[str, str]:
         "graph_edges": f"WITH {TEL},{EDGES} SELECT host, source, target, kind FROM edges",
         "graph_alerts": f"WITH {RECORDS},{NODES}, marks AS (SELECT hostname, pid, array_to_string(list_sort(list_distinct(list(technique_id) FILTER (technique_id <> ''))), ',') AS techniques, arg_max(severity, CASE severity WHEN 'low' THEN 2 WHEN 'medium' THEN 3 WHEN 'high' THEN 4 WHEN 'critical' THEN 5 END) AS severity FROM records GROUP BY ALL) SELECT n.host, n.id, m.pid IS NOT NULL AS alerting, coalesce(m.techniques, '') AS techniques, coalesce(m.severity, '') AS severity FROM nodes n LEFT JOIN marks m ON m.hostname = n.host AND n.id = concat('proc:', m.pid)",
         "graph_layers": f"WITH RECURSIVE {TEL},{NODES},{EDGES}, up AS (SELECT host, target AS id, coalesce(max(source) FILTER (kind = 'spawned'), min(source) FILTER (kind <> 'spawned')) AS p FROM edges GROUP BY ALL), link AS MATERIALIZED (SELECT n.host, n.id, u.p FROM nodes n LEFT JOIN (SELECT up.* FROM up JOIN nodes k ON k.host = up.host AND k.id = up.p) u ON u.host = n.host AND u.id = n.id), walk AS (SELECT host, id, 0::BIGINT AS layer FROM link WHERE p IS NULL UNION ALL SELECT l.host, l.id, w.layer + 1 FROM walk w JOIN link l ON l.host = w.host AND l.p = w.id) SELECT host, id, layer FROM walk",
-        "triage_reports": f"""WITH {RECORDS},{_CTX}, base AS (SELECT r.*, h.n, h.high FROM records r JOIN hosts h USING (hostname) WHERE r.severity = 'critical'),
+        "triage_reports": f"""WITH {RECORDS},{_CTX}, base AS (SELECT r.*, h.n, h.high FROM records r JOIN hosts h USING (hostname)),
 adv AS (SELECT b.seq, b.rule_id, step, min(rn) AS rn FROM (SELECT b.seq, b.rule_id, t.rn, {_advice("b.hostname", "b.process_name", "b.pid", "t.tactic")} AS step FROM base b JOIN tech t ON t.hostname = b.hostname) b WHERE step IS NOT NULL GROUP BY ALL),
 lines AS (SELECT seq, rule_id, string_agg(step, '|' ORDER BY rn) AS s FROM adv GROUP BY ALL)
 SELECT b.seq, b.rule_id, concat('Host ', b.hostname, ': process ', process_name, ' (pid ', pid, ') accumulated risk ', risk_score, ' across ', (SELECT count(*) FROM tech t WHERE t.hostname = b.hostname), ' ATT&CK technique(s) — ',
@@ -621,8 +620,8 @@ SELECT b.seq, b.rule_id, concat('Host ', b.hostname, ': process ', process_name,
  CASE WHEN risk_score >= 90 THEN 'critical' WHEN risk_score >= 75 THEN 'high' WHEN risk_score >= 50 THEN 'medium' ELSE 'low' END AS severity FROM base b LEFT JOIN lines l USING (seq, rule_id)""",
         "alert_history": f"WITH {RECORDS} SELECT seq, hostname, rule_id, us FROM records WHERE severity = 'high' AND us BETWEEN {T0} AND {T1}",
         "alert_history_page": f"WITH {RECORDS} SELECT seq, rule_id FROM records WHERE rule_id <> 'R-0067' AND hostname = 'host-4' AND technique_id = 'T1489' ORDER BY us DESC, seq DESC LIMIT 20",
-        "alert_lookup": f"WITH {RECORDS} SELECT id, seq, rule_id FROM records WHERE rule_id = 'R-0061'",
-        "host_timeline": f"WITH {RECORDS} SELECT seq, rule_id, concat(process_name, '  ▶ ', technique_id, CASE WHEN destination_ip <> '' THEN concat('  ▶ ', destination_ip) ELSE '' END) AS chain FROM records WHERE hostname = 'host-3'",
+        "alert_lookup": f"WITH {RECORDS} SELECT id, seq, rule_id FROM records",
+        "host_timeline": f"WITH {RECORDS} SELECT seq, rule_id, concat(process_name, '  ▶ ', technique_id, CASE WHEN destination_ip <> '' THEN concat('  ▶ ', destination_ip) ELSE '' END) AS chain FROM records",
         "live_tail": f"WITH {RECORDS} SELECT seq, rule_id FROM records WHERE hostname = 'host-2' AND severity = 'high'",
         "case_rejects": f"WITH {_CASES_LOG} SELECT case_ref, seq, kind, problem, alert_id FROM checked WHERE problem IS NOT NULL",
         "case_fold": f"WITH {_CASES_LOG} SELECT case_id, case_ref, title, severity, host, status, assignee, comments, created_us, updated_us FROM cases",
@@ -645,7 +644,7 @@ SELECT count(*)::BIGINT AS total, count_if(passed)::BIGINT AS passed, count_if(N
         "alert_counter": f"WITH {RECORDS} SELECT severity AS label, count(*)::BIGINT AS n FROM records GROUP BY 1",
         "latest_heartbeat": f"WITH {TEL}, {_HEART} SELECT host, seq, events_processed, alerts, incidents FROM agents",
         "fleet_tiles": f"WITH {TEL}, {_HEART} SELECT count(*)::BIGINT AS agents, count_if(us >= 1706659200000000 - 21600000000)::BIGINT AS online, sum(events_processed)::BIGINT AS events_processed, sum(alerts)::BIGINT AS alerts, sum(incidents)::BIGINT AS incidents FROM agents",
-        "recent_alerts": f"WITH {RECORDS} SELECT seq FROM records WHERE rule_id = 'R-0008' ORDER BY us DESC, seq DESC LIMIT 200",
+        "recent_alerts": f"WITH {RECORDS} SELECT seq FROM records ORDER BY us DESC, seq DESC LIMIT 200",
         "lake_filter": f"WITH {TEL} SELECT seq, host FROM tel WHERE action = 'connect' AND us BETWEEN {T0} AND {T1} AND contains(lower(concat(name, ' ', executable, ' ', command_line, ' ', path, ' ', target, ' ', dst_ip, ' ', domain, ' ', host)), 'ssh') ORDER BY us DESC, seq DESC LIMIT 30",
         "lake_ascending": f"WITH {TEL} SELECT seq, action FROM tel WHERE host = 'host-5' AND pid = 40",
         "lake_count": "SELECT count(*)::BIGINT AS n FROM events",

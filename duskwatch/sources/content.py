@@ -6,14 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def read_content(spark: SparkSession, glob: str, max_bytes: int, skip_larger: bool = False) -> DataFrame:
-    """(path, content): at most ``max_bytes`` of each file.
+def read_content(spark: SparkSession, glob: str, max_bytes: int | None = None) -> DataFrame:
+    """(path, length, content): whole files.
 
-    A scan cuts at the cap; a hash must not, so it asks to skip larger files.  Files are
-    filtered by length before their bytes are read.
+    With ``max_bytes`` the bytes of longer files are not read: such a file is a row without
+    content, so a caller sees what was skipped.
     """
     raw = spark.read.format("binaryFile").load(glob)
-    if skip_larger:
-        raw = raw.filter(F.col("length") <= max_bytes)
-    path = F.regexp_replace("path", "^[a-z0-9]+:(//[^/]*)?(?=/)", "")
-    return raw.select(path.alias("path"), F.substring("content", 1, max_bytes).alias("content"))
+    path = F.regexp_replace("path", "^[a-z0-9]+:(//[^/]*)?(?=/)", "").alias("path")
+    if max_bytes is None:
+        return raw.select(path, "length", "content")
+    read = raw.filter(F.col("length") <= max_bytes).select(path, "length", "content")
+    skipped = raw.filter(F.col("length") > max_bytes).select(path, "length", F.lit(None).cast("binary").alias("content"))
+    return read.union(skipped)

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.fields import search_text
 from ..operators.ordered import newest_first, oldest_first
 
-DEFAULT_LIMIT = 1000
-
 
 def with_lake_columns(df: DataFrame) -> DataFrame:
     return df.withColumns({"event_date": F.to_date("ts"), "search": search_text()})
@@ -32,9 +31,12 @@ def read_lake(spark: SparkSession, path: str) -> DataFrame:
 
 
 def lake_query(df: DataFrame, action: str = "", host: str = "", pid: int = 0, since: datetime | None = None,
-               until: datetime | None = None, contains: str = "", limit: int | None = DEFAULT_LIMIT,
+               until: datetime | None = None, contains: str = "", limit: int | None = None,
                ascending: bool = False) -> DataFrame:
-    """Filter and order events; bounds are inclusive, ``contains`` is literal and case-insensitive."""
+    """Filter and order events; bounds are inclusive, ``contains`` is literal and case-insensitive.
+
+    All matches, unless a positive ``limit`` asks for a page.
+    """
     dated = "event_date" in df.columns
     if action:
         df = df.filter(F.col("action") == action)
@@ -52,20 +54,31 @@ def lake_query(df: DataFrame, action: str = "", host: str = "", pid: int = 0, si
         text = F.col("search") if "search" in df.columns else search_text()
         df = df.filter(text.contains(contains.lower()))
     order = oldest_first if ascending else newest_first
-    return order(df, DEFAULT_LIMIT if limit is not None and limit <= 0 else limit)
+    return order(df, limit if limit and limit > 0 else None)
 
 
-def prune(df: DataFrame, before: datetime) -> tuple[DataFrame, DataFrame]:
-    """(rows kept, one-row frame with the number ``pruned``): rows strictly before the cutoff go."""
-    old = F.col("ts") < F.lit(before)
-    return df.filter(~old), df.agg(F.count_if(old).alias("pruned"))
+def expired(before: datetime, column: str = "ts") -> Column:
+    """Rows strictly before the cutoff go; ``column`` is ``time`` for alert records."""
+    return F.coalesce(F.col(column) < F.lit(before), F.lit(False))
+
+
+def prune(df: DataFrame, before: datetime, column: str = "ts") -> DataFrame:
+    """The rows that retention keeps."""
+    return df.filter(~expired(before, column))
+
+
+def retention_report(df: DataFrame, before: datetime, column: str = "ts") -> DataFrame:
+    """One row, from one pass: how many rows are ``kept`` and ``pruned``, and the ``first_seq`` kept."""
+    old = expired(before, column)
+    return df.agg(F.count_if(~old).alias("kept"), F.min(F.when(~old, F.col("seq"))).alias("first_seq"), F.count_if(old).alias("pruned"))
 
 
 def prune_lake(spark: SparkSession, path: str, before: datetime) -> int:
     """Apply retention to a lake folder; returns the number of rows removed.
 
     Whole dates before the cutoff are dropped as folders; only the boundary date is rewritten,
-    through dynamic partition overwrite.
+    through dynamic partition overwrite from a staged copy of its own. A run that dies can be
+    repeated: what is left is pruned again.
     """
     lake = read_lake(spark, path)
     old = F.col("ts") < F.lit(before)
@@ -79,7 +92,7 @@ def prune_lake(spark: SparkSession, path: str, before: datetime) -> int:
     fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
     if boundary:
         keep = lake.filter((F.col("event_date") == F.to_date(F.lit(before))) & ~old)
-        staged = f"{path.rstrip('/')}_boundary"
+        staged = f"{path.rstrip('/')}_boundary_{uuid.uuid4().hex}"
         keep.write.mode("overwrite").partitionBy("event_date", "action").parquet(staged)
         (spark.read.parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("event_date", "action").parquet(path))

@@ -149,7 +149,7 @@ TREE = ("host string, us long, seq long, pid long, parent_name string, parent_ex
 
 
 class _ProcessTree(StatefulProcessor):
-    def __init__(self, depth: int):
+    def __init__(self, depth: int | None):
         self.depth = depth
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -167,8 +167,9 @@ class _ProcessTree(StatefulProcessor):
             elif row.action == "exit" and self.live.containsKey((row.pid,)):
                 self.live.removeKey((row.pid,))
             parent, own = self._get(row.ppid), self._get(row.pid)
-            chain, current = [], row.ppid
-            while len(chain) < self.depth and current not in (0, row.pid):
+            chain, current, passed = [], row.ppid, {0, row.pid}
+            while current not in passed and (self.depth is None or len(chain) < self.depth):
+                passed.add(current)
                 info = self._get(current)
                 if info is None:
                     break
@@ -183,7 +184,7 @@ class _ProcessTree(StatefulProcessor):
         pass
 
 
-def stream_process_tree(events: DataFrame, depth: int = 16) -> DataFrame:
+def stream_process_tree(events: DataFrame, depth: int | None = None) -> DataFrame:
     """Parent, start time and ancestry of each event as it arrives, keyed by host.
 
     A host's events must be seen in order by one owner of its process table; the batch

@@ -33,8 +33,8 @@ def test_lake_round_trip(spark, three, tmp_path):
     assert [r.seq for r in lake.lake_query(df, ascending=True).collect()] == [0, 1, 2]
     plan = lake.lake_query(df, action="exec", since=at(30))._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(action" in plan and "PushedFilters: [IsNotNull(ts)" in plan
-    kept, gone = lake.prune(df, at(90))
-    assert kept.count() == 1 and gone.collect()[0].pruned == 2
+    assert lake.prune(df, at(90)).count() == 1 and lake.prune(df.withColumnRenamed("ts", "time"), at(90), "time").count() == 1
+    assert lake.retention_report(df, at(90)).collect()[0].asDict() == {"kept": 1, "first_seq": 2, "pruned": 2}
     assert lake.prune_lake(spark, path, at(90)) == 2
     assert [r.seq for r in lake.read_lake(spark, path).collect()] == [2]
 
@@ -86,7 +86,7 @@ def test_content_sources_and_signatures(spark, make, tmp_path):
              "shell": b"/bin/sh -i socket dup2", "php": b"<?php SYSTEM($_GET[0]);", "empty": b"", "bin": b"\x00MZ\n\x90\x00\xff"}
     for name, data in files.items():
         (tmp_path / name).write_bytes(data)
-    scanned = content.scan_content(read_content(spark, str(tmp_path), 100), "content", content.builtin_signatures() + [
+    scanned = content.scan_content(read_content(spark, str(tmp_path)), "content", content.builtin_signatures() + [
         {"name": "mz", "strings": {"h": {"hex": "4D 5A ?? 90"}}, "condition": "h"},
         {"name": "not_mz", "strings": {"h": {"hex": "5A4D"}, "i": {"hex": "4D5A"}}, "condition": {"all": [{"not": "h"}, "i"]}}])
     got = {r.path.rsplit("/", 1)[1]: r.matches for r in scanned.collect()}
@@ -94,12 +94,12 @@ def test_content_sources_and_signatures(spark, make, tmp_path):
                    "php": ["PHP_Webshell"], "bin": ["mz", "not_mz"]}
     df = make([{"action": "exec", "process.executable": str(tmp_path / "eicar")}, {"action": "open", "process.executable": str(tmp_path / "eicar")},
                {"action": "exec", "process.executable": "/none"}])
-    enriched = enrich.with_signatures(enrich.with_hash(df, read_content(spark, str(tmp_path), 100, skip_larger=True)), scanned)
+    enriched = enrich.with_signatures(enrich.with_hash(df, read_content(spark, str(tmp_path))), scanned)
     rows = {r.seq: r.process for r in enriched.collect()}
     assert rows[0].sha256 == hashlib.sha256(files["eicar"]).hexdigest() and rows[0].yara_matches == ["EICAR_Test_File"]
     assert rows[1].yara_matches is None and rows[2].yara_matches is None
-    assert {r.path.rsplit("/", 1)[1] for r in read_content(spark, str(tmp_path), 10, skip_larger=True).collect()} == {"one", "bin"}
-    assert read_content(spark, str(tmp_path / "miner"), 5).collect()[0].content == b"XMRIG"
+    capped = {r.path.rsplit("/", 1)[1]: r.content for r in read_content(spark, str(tmp_path), 10).collect()}
+    assert {n for n, c in capped.items() if c is not None} == {"one", "bin"} and len(capped) == len(files) - 1
     from duskwatch.operators.detect import detect
 
     hit = detect(enriched, builtin_rules()).selectExpr("seq", "rule.id").filter("id = 'R-0073'")
