@@ -105,32 +105,31 @@ TO_RULE = {"==": "eq", "!=": "ne", ">": "gt", "<": "lt", ">=": "ge", "<=": "le",
            "contains": "contains", "startswith": "startswith", "endswith": "endswith", "in": "in"}
 
 
-def _promote_node(node: dict) -> dict:
-    for group in ("all", "any"):
-        if node.get(group) is not None:
-            return {group: [_promote_node(c) for c in node[group]]}
-    if node.get("not") is not None:
-        return {"not": _promote_node(node["not"])}
-    value = node.get("value")
-    if node["op"] in (">", "<", ">=", "<=") and isinstance(value, float):
-        if value != int(value):
-            raise ValueError("a rule compares whole numbers: give an integer operand")
-        value = int(value)
-    leaf = {"field": node["field"], "op": TO_RULE[node["op"]], "value": value}
-    if node["op"] == "!=":
-        # A hunt's != needs the field present; a rule's ne does not.
-        return {"all": [{"field": node["field"], "op": "exists"}, leaf]}
-    return leaf
+def _whole(op: str, value):
+    """Numbers of a hunt may have a fraction, those of a rule may not."""
+    if op in ("gt", "lt", "ge", "le") and isinstance(value, float):
+        if not value.is_integer():
+            raise ValueError(f"{value} has a fraction, which no rule can compare with")
+        return int(value)
+    return value
+
+
+def rule_tree(node: dict) -> dict:
+    """A hunt's condition tree in the operators of rules."""
+    if "op" not in node:
+        return {kind: rule_tree(part) if kind == "not" else [rule_tree(p) for p in part] for kind, part in node.items() if part is not None}
+    name, op = node["field"], TO_RULE[node["op"]]
+    leaf = {"field": name, "op": op, "value": _whole(op, node.get("value"))}
+    # Where the field is absent a hunt's != fails and a rule's ne holds.
+    return {"all": [{"field": name, "op": "exists"}, leaf]} if op == "ne" else leaf
 
 
 def promote(cls: str, filters: list[dict], meta: dict) -> dict:
     """A hunt (class plus filter trees) as a rule dict that selects the same events."""
-    if not meta.get("id") or not meta.get("name"):
-        raise ValueError("a rule needs an id and a name")
-    parts = [] if cls in ("any", "event") else [{"field": "event.type", "op": "eq", "value": cls}]
+    if not (meta.get("id") and meta.get("name")):
+        raise ValueError("give the new rule an id and a name")
     for tree in filters:
         check_tree(tree, HUNT_OPS)
-        parts.append(_promote_node(tree))
-    match = ({"field": "event.action", "op": "exists"} if not parts
-             else parts[0] if len(parts) == 1 else {"all": parts})
-    return {**meta, "match": match}
+    of_class = {} if cls in ("any", "event") else {"field": "event.type", "op": "eq", "value": cls}
+    parts = [p for p in (of_class, *map(rule_tree, filters)) if p] or [{"field": "event.action", "op": "exists"}]
+    return {**meta, "match": parts[0] if len(parts) == 1 else {"all": parts}}

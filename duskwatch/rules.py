@@ -95,6 +95,64 @@ def _either(*parts: dict) -> dict:
     return {"any": list(parts)}
 
 
+#: What each shipped rule sees.
+DESCRIPTIONS = {
+    "R-0001": "A program was started from a directory that anyone can write to and that is emptied on restart.",
+    "R-0003": "A file of the cron scheduler was written, which makes a command run again and again.",
+    "R-0004": "A systemd unit file was written, so a service can start with the machine.",
+    "R-0005": "The list of keys that may log in by SSH was changed.",
+    "R-0006": "The file that loads a library into every new process was touched.",
+    "R-0007": "A network service started a shell whose input and output are a socket.",
+    "R-0008": "A connection went to a port that remote shells and their controllers often use.",
+    "R-0014": "A file under the system log directory was deleted or renamed.",
+    "R-0015": "A file got the permission to run with the rights of its owner or group.",
+    "R-0016": "A shell history file was deleted or renamed.",
+    "R-0017": "A command asked which user is logged in or who uses the machine.",
+    "R-0018": "A command asked for the name, kernel or version of the system.",
+    "R-0019": "A search for files that run with the rights of their owner.",
+    "R-0020": "The list of accounts was read.",
+    "R-0021": "A command listed neighbouring machines.",
+    "R-0022": "A command listed addresses, routes or sockets of the machine.",
+    "R-0023": "A command listed the running processes.",
+    "R-0024": "A tool that probes hosts for open ports was started.",
+    "R-0025": "A process that has no terminal started an SSH client.",
+    "R-0026": "An SSH command was told not to check host keys or not to ask.",
+    "R-0027": "Files were copied to or from another machine with a remote copy tool.",
+    "R-0028": "A connection went to a port of remote administration.",
+    "R-0029": "An archive was made of directories that hold data or settings.",
+    "R-0030": "A command named private keys or stored credentials.",
+    "R-0031": "A command gathered data in a directory for temporary files.",
+    "R-0032": "A command encrypted files with a general tool.",
+    "R-0033": "A raw socket tool was given data or a program to pass on.",
+    "R-0034": "A command named a public service for sharing files or text.",
+    "R-0035": "A command sent local data by HTTP.",
+    "R-0036": "A file was renamed to an extension that extortion software leaves.",
+    "R-0037": "Backups, snapshots or volumes for recovery were removed.",
+    "R-0038": "A service that protects or records the system was stopped.",
+    "R-0039": "A command deletes or overwrites files beyond recovery.",
+    "R-0040": "A command or host name belongs to currency mining.",
+    "R-0041": "The machine was told to shut down or start again.",
+    "R-0042": "A tool that rewrites or clears disks was started.",
+    "R-0043": "A download was fed straight to a shell.",
+    "R-0044": "A line of script code opens a socket and hands it to a shell.",
+    "R-0045": "A command forwards ports or wraps traffic in another protocol.",
+    "R-0046": "A tool that relays traffic was started.",
+    "R-0050": "A process, or what it did, is rare compared with the learned baseline.",
+    "R-0060": "A process attached to another to read or change it.",
+    "R-0061": "Code was added to the running kernel.",
+    "R-0062": "A program that is not known for it loaded code into the kernel by bpf().",
+    "R-0063": "A file that exists in memory only was made, as programs without a trace on disk are.",
+    "R-0064": "Memory was mapped to be written and run at once.",
+    "R-0065": "A process took the identity of the superuser.",
+    "R-0066": "A queried name has a label too long for ordinary use and may carry data.",
+    "R-0067": "A tool that protects the system was switched off.",
+    "R-0068": "System logs were emptied or shortened.",
+    "R-0069": "Decoded text was fed straight to a shell.",
+    "R-0073": "The file of a started program matches a content signature.",
+    "R-0074": "Something tried to stop, change or blind the agent itself.",
+}
+
+
 def builtin_rules(agent_names: tuple[str, ...] = ("edr-agent", "edr-server")) -> list[dict[str, Any]]:
     """The shipped rules; ``agent_names`` are the sensor's own processes."""
     run = _verb("exec")
@@ -265,7 +323,7 @@ def builtin_rules(agent_names: tuple[str, ...] = ("edr-agent", "edr-server")) ->
     ]
     responses = {"R-0007": "kill", "R-0044": "kill"}
     return load_rules(
-        {"id": i, "name": n, "severity": s, "risk_score": r, "response": responses.get(i),
+        {"id": i, "name": n, "description": DESCRIPTIONS[i], "severity": s, "risk_score": r, "response": responses.get(i),
          "technique": {"id": ti, "name": tn, "tactic": ta}, "match": m}
         for i, n, s, r, ti, tn, ta, m in table
     )
@@ -276,11 +334,12 @@ def community_rules() -> list[dict[str, Any]]:
     # Fixed values, as above.
     run = _verb("exec")
     return load_rules([
-        {"id": "C-0001", "name": "Shell spawned by a web server (web shell)", "severity": "high", "risk_score": 55,
+        {"id": "C-0001", "name": "Shell spawned by a web server (web shell)",
+         "description": "A web server or its language runtime started a shell or an interpreter.", "severity": "high", "risk_score": 55,
          "technique": {"id": "T1505.003", "name": "Server Software Component: Web Shell", "tactic": "persistence"},
          "match": _every(run, _leaf("process.parent.name", "in", ["php-fpm", "apache2", "httpd", "nginx", "node"]),
                          _named("sh", "bash", "dash", "python", "python3", "perl"))},
-        {"id": "C-0002", "name": "Scheduled task via at", "severity": "medium", "risk_score": 35,
+        {"id": "C-0002", "name": "Scheduled task via at", "description": "A command was queued to run once at a later time.", "severity": "medium", "risk_score": 35,
          "technique": {"id": "T1053.002", "name": "Scheduled Task/Job: At", "tactic": "persistence"},
          "match": _every(run, _leaf("process.name", "eq", "at"))},
     ])

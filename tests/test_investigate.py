@@ -24,24 +24,24 @@ def record(spark, rows):
 
 
 def test_graph(spark, make):
-    df = make([{"host": "h", "action": "exec", "process.pid": 200, "process.ppid": 100, "process.name": "bash", "process.command_line": "bash -i",
-                "process.parent_name": "nginx"},
-               {"host": "h", "action": "open", "process.pid": 200, "process.name": "other", "file.path": "/etc/shadow"},
-               {"host": "h", "action": "connect", "process.pid": 200, "network.dst_ip": "203.0.113.9", "network.dst_port": 4444},
-               {"host": "h", "action": "dns", "process.pid": 300, "network.domain": "a.b", "network.dst_ip": "1.1.1.1"},
-               {"host": "h", "action": "open", "process.pid": 200, "file.path": "/etc/shadow"}])
+    df = make([{"host": "h", "action": "exec", "process.pid": 58, "process.ppid": 41, "process.name": "dash", "process.command_line": "dash -c ls",
+                "process.parent_name": "ngrok"},
+               {"host": "h", "action": "open", "process.pid": 58, "process.name": "other", "file.path": "/srv/ledger"},
+               {"host": "h", "action": "connect", "process.pid": 58, "network.dst_ip": "192.0.2.61", "network.dst_port": 7070},
+               {"host": "h", "action": "dns", "process.pid": 77, "network.domain": "a.b", "network.dst_ip": "192.0.2.9"},
+               {"host": "h", "action": "open", "process.pid": 58, "file.path": "/srv/ledger"}])
     nodes, edges = investigate.graph_nodes(df), investigate.graph_edges(df)
     assert {(r.source, r.target, r.kind) for r in edges.collect()} == {
-        ("proc:100", "proc:200", "spawned"), ("proc:200", "file:/etc/shadow", "opened"),
-        ("proc:200", "net:203.0.113.9:4444", "connected"), ("proc:300", "net:a.b", "resolved")}
+        ("proc:41", "proc:58", "spawned"), ("proc:58", "file:/srv/ledger", "opened"),
+        ("proc:58", "net:192.0.2.61:7070", "connected"), ("proc:77", "net:a.b", "resolved")}
     got = {r.id: (r.label, r.detail) for r in nodes.collect()}
-    assert got["proc:200"] == ("bash", "bash -i") and got["proc:100"] == ("nginx", "") and got["proc:300"] == ("pid 300", "")
-    assert got["file:/etc/shadow"] == ("shadow", "/etc/shadow") and len(got) == 6
-    alerts = record(spark, [{"pid": 200, "technique": "T1059", "severity": "high"}, {"pid": 200, "technique": "T1003", "severity": "critical"},
+    assert got["proc:58"] == ("dash", "dash -c ls") and got["proc:41"] == ("ngrok", "") and got["proc:77"] == ("pid 77", "")
+    assert got["file:/srv/ledger"] == ("ledger", "/srv/ledger") and len(got) == 6
+    alerts = record(spark, [{"pid": 58, "technique": "T1059", "severity": "high"}, {"pid": 58, "technique": "T1003", "severity": "critical"},
                             {"pid": 999, "technique": "T1"}])
     marked = {r.id: r for r in investigate.annotate(nodes, alerts).collect()}
-    assert marked["proc:200"].techniques == ["T1003", "T1059"] and marked["proc:200"].severity == "critical"
-    assert not marked["proc:100"].alerting and len(marked) == 6
+    assert marked["proc:58"].techniques == ["T1003", "T1059"] and marked["proc:58"].severity == "critical"
+    assert not marked["proc:41"].alerting and len(marked) == 6
 
 
 @pytest.mark.parametrize("seed", [1, 2])

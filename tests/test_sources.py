@@ -12,9 +12,9 @@ from duskwatch.sources.content import read_content
 
 @pytest.fixture(scope="module")
 def three(make):
-    return make([{"action": "exec", "host": "web-01", "at": 0, "process.pid": 100, "process.name": "a%b"},
-                 {"action": "exec", "host": "web-01", "at": 60, "process.pid": 200},
-                 {"action": "connect", "host": "db-01", "at": 120, "process.pid": 300, "network.domain": "evil.example"}])
+    return make([{"action": "exec", "host": "mill", "at": 0, "process.pid": 41, "process.name": "a%b"},
+                 {"action": "exec", "host": "mill", "at": 60, "process.pid": 58},
+                 {"action": "connect", "host": "barn", "at": 120, "process.pid": 77, "network.domain": "evil.example"}])
 
 
 def at(second):
@@ -26,7 +26,7 @@ def test_lake_round_trip(spark, three, tmp_path):
     lake.write_lake(three, path)
     df = lake.read_lake(spark, path)
     n = lambda **k: lake.lake_query(df, **k).count()
-    assert df.count() == 3 and n(action="exec") == 2 and n(host="db-01") == 1 and n(pid=200) == 1
+    assert df.count() == 3 and n(action="exec") == 2 and n(host="barn") == 1 and n(pid=58) == 1
     assert n(since=at(30), until=at(90)) == 1 and n(since=at(60), until=at(60)) == 1
     assert n(contains="EVIL") == 1 and n(limit=1) == 1 and n(contains="%") == 1
     assert [r.seq for r in lake.lake_query(df).collect()] == [2, 1, 0]
