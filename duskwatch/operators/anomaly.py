@@ -103,8 +103,14 @@ def draw_samples(vectors: DataFrame, trees: int, sample: int, seed: int) -> tupl
     size = min(sample, total)
     draws_wanted = trees * size
     spark = vectors.sparkSession
-    pool = (vectors.select(F.xxhash64(F.lit(seed), "seq").alias("h"), "seq", "vector")
-            .orderBy("h", "seq").limit(min(draws_wanted, total)))
+    hashed = vectors.select(F.xxhash64(F.lit(seed), "seq").alias("h"), "seq", "vector")
+    wanted = min(draws_wanted, total)
+    # Only hashes that can be among the smallest go to the top-k: about as many rows as it keeps.
+    share = (wanted + 8 * math.sqrt(wanted) + 64) / max(total, 1)
+    near = hashed if share >= 1 else hashed.filter(F.col("h") < F.lit(int(-(2**63) + share * 2**64)))
+    if share < 1 and near.count() < wanted:
+        near = hashed
+    pool = near.orderBy("h", "seq").limit(wanted)
     # Both sides below hold at most trees * sample rows.
     ranks = np.random.default_rng(seed).integers(0, total, draws_wanted) if total else np.array([], dtype=int)
     _, slot = np.unique(ranks, return_inverse=True)

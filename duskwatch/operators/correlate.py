@@ -110,7 +110,8 @@ def incidents_of(events: DataFrame, window: timedelta = WINDOW, threshold: int =
                  bucket: timedelta = BUCKET) -> DataFrame:
     """Incidents from event-grain risk rows (``risk_events`` or ``fired_events``)."""
     keys = ["host", "process_key"]
-    events = sessions(events, keys, window, bucket)
+    # The narrow risk rows are read twice below (scan and bucket summary): written once, so rules run once.
+    events = sessions(materialize(events), keys, window, bucket)
     crossed = (F.col("run") >= threshold) & (F.col("run") - F.col("risk") < threshold)
     at = F.when(crossed, F.struct("us", "seq", "run", "name", "pid"))
     # First sighting of each rule in a session: at most one row per rule, so both

@@ -27,7 +27,7 @@ def join_cidr(df: DataFrame, ip: str, nets: DataFrame, out: str = "net") -> Data
     addresses = (df.select(F.col(ip).alias("_ip")).filter(F.col("_ip").isNotNull()).distinct()
                  .withColumn("_hex", F.explode(F.array(ip_hex(F.col("_ip"))))).filter("_hex is not null")
                  .withColumn("net_family", ip_family(F.col("_hex"))))
-    probes = (addresses.join(F.broadcast(lengths), "net_family")
+    probes = (addresses.join(lengths, "net_family")
               .select("_ip", "_hex", "net_family", F.explode("net_lengths").alias("net_bits"))
               .withColumn("net_prefix", ip_prefix(F.col("_hex"), F.col("net_bits"))))
     found = (lookup_join(probes, first, ["net_family", "net_bits", "net_prefix"], "inner")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,5 +31,8 @@ def lookup_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "le
     salt = row_salt(left, salts, on)
     if salt is None:
         return left.join(right, on, how)
+    # A null key matches nothing: such rows get numbers no lookup row has and spread over all tasks.
+    absent = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in on])
+    salt = F.when(absent, -1 - row_salt(left, 1 << 30, on)).otherwise(salt)
     salted = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.withColumn("_salt", salt).join(salted, [*on, "_salt"], how).drop("_salt")

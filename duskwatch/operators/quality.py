@@ -51,6 +51,12 @@ def test_outcomes(rules: list[dict], fixtures: DataFrame) -> DataFrame:
     return joined.select("name", "rule", "expect", "known", "fired", passed.alias("passed"))
 
 
+def quality_gate(report: DataFrame, max_false_positive_rate: float = 0.0, untested_ok: bool = True) -> DataFrame:
+    """Add ``ok``: no missed test, false positives within the rate and, if asked, no rule without a test."""
+    ok = (F.col("false_negatives") == 0) & (F.col("false_positive_rate") <= max_false_positive_rate)
+    return report.withColumn("ok", ok if untested_ok else ok & (F.size("untested") == 0))
+
+
 def rule_quality(rules: list[dict], fixtures: DataFrame) -> DataFrame:
     """One row: totals, false positives / negatives, FP rate over no-fire tests, untested rules."""
     outcomes = test_outcomes(rules, fixtures)

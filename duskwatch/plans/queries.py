@@ -20,6 +20,7 @@ from ..sources.indicators import classify
 from ..sources.lake import lake_query, retention_report, with_lake_columns
 from ..sources.sinks import records as record_rows
 from ..streaming.live import tail_alerts
+from ..session import Shelf
 from . import samples as S
 from .telemetry import flat, table, telemetry
 
@@ -52,6 +53,11 @@ def _records(spark, d) -> DataFrame:
     return export.flatten_alerts(_alerts(spark, d))
 
 
+def _written(spark, df: DataFrame) -> DataFrame:
+    """``df`` written once, for queries that read it several times."""
+    return Shelf(spark).save(df, "rows")
+
+
 def _incidents(spark, d) -> DataFrame:
     return correlate.incidents_of(correlate.fired_events(telemetry(spark, d), S.RULES), DAY)
 
@@ -441,7 +447,7 @@ def graph_layers(spark, d):
 @query
 def triage_reports(spark, d):
     """H5, H6, H7 for every alert."""
-    records = _records(spark, d)
+    records = _written(spark, _records(spark, d))
     context = investigate.triage_context(records, records, _rule_table(spark))
     out = investigate.containment(investigate.triage_summary(context))
     return out.select("seq", "rule_id", "summary", F.array_join("steps", "|").alias("steps"),
@@ -465,7 +471,7 @@ def alert_history_page(spark, d):
 @query
 def alert_lookup(spark, d):
     """Every alert found again by its id."""
-    records = _records(spark, d)
+    records = _written(spark, _records(spark, d))
     return records.join(records.select("id"), "id").select("id", "seq", "rule_id")
 
 
@@ -533,10 +539,11 @@ def case_evidence_rows(spark, d):
 @query
 def case_report(spark, d):
     """H10."""
-    checked = cases.check_log(_case_log(spark, d))
-    folded = cases.fold_cases(checked)
+    checked = _written(spark, cases.check_log(_case_log(spark, d)))
+    folded = _written(spark, cases.fold_cases(checked))
+    records = _written(spark, _records(spark, d))
     lines = cases.case_report_lines(folded, cases.case_evidence(checked, folded), cases.case_comments(checked, folded),
-                                    _records(spark, d), _rule_table(spark))
+                                    records, _rule_table(spark))
     return lines.select("case_id", _long("section").alias("section"), F.col("ord.seq").alias("ord"), "line")
 
 
@@ -564,7 +571,8 @@ def block_list(spark, d):
 @query
 def playbook_runs(spark, d):
     """J4, J5."""
-    records = _records(spark, d).unionByName(export.flatten_incidents(_incidents(spark, d)))
+    alerts = _written(spark, _alerts(spark, d))
+    records = export.flatten_alerts(alerts).unionByName(export.flatten_incidents(correlate.correlate(alerts, DAY)))
     runs = respond.expand_steps(respond.match_playbooks(records, S.PLAYBOOKS))
     return runs.select("alert_id", "seq", "playbook_id", "mode", _long("position").alias("position"), "type", "detail",
                        "executed", "error")
@@ -749,7 +757,8 @@ def ocsf_findings(spark, d):
 @query
 def flat_records(spark, d):
     """Alerts and incidents as fleet records."""
-    both = _records(spark, d).unionByName(export.flatten_incidents(_incidents(spark, d)))
+    alerts = _written(spark, _alerts(spark, d))
+    both = export.flatten_alerts(alerts).unionByName(export.flatten_incidents(correlate.correlate(alerts, DAY)))
     return both.select("id", "hostname", micros("time").alias("us"), "rule_id", "severity", "technique_id", "pid",
                        "destination_ip", "risk_score", "is_incident")
 

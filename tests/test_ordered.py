@@ -41,7 +41,9 @@ def test_process_tree(make, seed, bucket):
         elif r["action"] == "exit":
             procs.pop(pid, None)
         parent, own, chain, cur = procs.get(ppid), procs.get(pid), [], ppid
-        while len(chain) < 16 and cur not in (0, pid) and cur in procs:
+        passed = {0, pid}
+        while cur not in passed and cur in procs:
+            passed.add(cur)
             chain.append(procs[cur][1])
             cur = procs[cur][0]
         start = own[3] if own and r["process.start_time_ns"] == 0 else r["process.start_time_ns"]
