@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of a key table (a few longs each, so tens of MB) up to which it is sent to every executor.
-SEND_ROWS = 1_000_000
+SEND_ROWS = 500_000
 #: Texts per Arrow batch: long texts then stay within a worker's memory.
 BATCH_ROWS = 256
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

@@ -17,9 +17,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import Shelf
-from .common import has_word, let, packed, sendable, unpacked
+from .common import has_word, let, packed, unpacked
 
 WINDOW = 3
+SEND_NUMBERS = 2_000_000
 
 
 def windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -53,7 +54,10 @@ def repeated_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` with later occurrences cut out of ``text``, and the columns n_lines and n_removed (in place of such columns of ``docs``)."""
-    gone = sendable(repeated_lines(docs, window), 200_000).alias("g")
+    gone = repeated_lines(docs, window)
+    # Its size in numbers decides whether it is sent to the executors (some 16 MB) or shuffled with the texts.
+    numbers = gone.agg(F.sum(F.size("gone") + 4)).first()[0] or 0
+    gone = (F.broadcast(gone) if numbers <= SEND_NUMBERS else gone).alias("g")
     rows = packed(docs, "doc_id", F.xxhash64("text").alias("text_key"), apart="text").alias("d")
     match = F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("d.text_key") == F.col("g.text_key"))
     cut = let(F.split("d.text", "\n"), lambda lines: F.array_join(F.transform(
