@@ -5,12 +5,13 @@ from __future__ import annotations
 from datetime import timedelta
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fields import field
 from ..functions.predicates import HUNT_OPS, check_tree, event_class, hunt_predicate
 from ..schema import micros
+from ..session import materialize
 from .ordered import BUCKET, nearest, newest_first, time_bucket, width_us
 
 
@@ -44,10 +45,9 @@ def sequence(df: DataFrame, stages: list[tuple], by: str | None = None,
     """One row per stage-0 event whose chain of earliest later matches completes.
 
     Columns ``e0 .. en`` hold the chain's events.  Only events matching some stage are
-    shuffled.  With ``within`` a key's timeline is cut into buckets of that width and each
-    bucket also sees the next one, so a chain never leaves its bucket pair and a hot key
-    (or the one global group) spreads over time.  Without it each stage is an exact
-    two-level "next match" scan.
+    shuffled.  Each stage is an exact two-level "next match" scan over time buckets, so a hot key
+    (or the one global group) spreads over time; ``within`` then keeps the chains that end in
+    time, since no later match ends earlier than the earliest.
     """
     tests = _stages(stages)
     n = len(tests)
@@ -57,10 +57,9 @@ def sequence(df: DataFrame, stages: list[tuple], by: str | None = None,
             .filter(reduce(lambda a, b: a | b, [F.col(f"_s{i}") for i in range(n)]))
             .select(key.alias("key"), "ts", "seq", event.alias("_event"), *[f"_s{i}" for i in range(n)])
             .filter("key is not null"))
+    found = _chained(rows, n, bucket)
     if within is not None:
-        found = _within(rows, n, within)
-    else:
-        found = _unlimited(rows, n, bucket)
+        found = found.filter(micros(F.col(_end(n))) - micros("ts") <= width_us(within))
     chain, node = [F.col("_event").alias("e0")], "_next1"
     for i in range(1, n):
         chain.append(F.col(f"{node}.event").alias(f"e{i}"))
@@ -82,20 +81,11 @@ def _end(n: int) -> str:
     return "_next1" + ".rest" * (n - 2) + ".ts"
 
 
-def _within(rows: DataFrame, n: int, within: timedelta) -> DataFrame:
-    own = F.floor(micros("ts") / F.lit(max(width_us(within), 1)))
-    spread = rows.withColumns({"_own": own, "_b": F.explode(F.array(own, own - 1))})
-    later = (Window.partitionBy("key", "_b").orderBy(F.col("ts").desc(), F.col("seq").desc())
-             .rowsBetween(Window.unboundedPreceding, -1))
+def _chained(rows: DataFrame, n: int, bucket: timedelta) -> DataFrame:
+    """Stage by stage from the last, the next match of every row. A stage reads its rows twice (scan and bucket
+    summary), so they are written before it: n stages read n times, not twice for every stage above."""
     for k in range(n - 1, 0, -1):
-        spread = spread.withColumn(f"_next{k}", F.last(_link(k, n), ignorenulls=True).over(later))
-    took = micros(F.col(_end(n))) - micros("ts")
-    return spread.filter(F.col("_s0") & (F.col("_own") == F.col("_b")) & (took <= width_us(within)))
-
-
-def _unlimited(rows: DataFrame, n: int, bucket: timedelta) -> DataFrame:
-    for k in range(n - 1, 0, -1):
-        rows = nearest(rows, ["key"], ["ts", "seq"], _link(k, n), f"_next{k}", time_bucket(bucket),
+        rows = nearest(materialize(rows), ["key"], ["ts", "seq"], _link(k, n), f"_next{k}", time_bucket(bucket),
                        forward=True)
     return rows.filter(F.col("_s0") & F.col("_next1").isNotNull())
 

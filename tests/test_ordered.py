@@ -145,10 +145,33 @@ def test_sequences(make, seed, within):
     assert sorted(got) == sorted(want) and want
 
 
-def test_sequence_plan_shuffles_once(make):
-    out = hunt.sequence(make(stream(1, 5)), [("exec", None), ("connect", None)], "host.name", timedelta(hours=1))
+def test_sequence_reads_its_input_once(make):
+    """The source is read for the written rows alone; what stays is one scan by bucket and one over bucket summaries."""
+    out = hunt.sequence(make(stream(1, 5)), [("exec", None), ("open", None), ("connect", None)], "host.name", timedelta(hours=1))
     plan = out._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange") == 1 and plan.count("CartesianProduct") == 0
+    assert plan.count("Exchange") <= 4 and "CartesianProduct" not in plan and "NestedLoop" not in plan
+    assert "process.name" not in plan and plan.count("Scan ExistingRDD") <= 2
+
+
+def test_sequence_over_one_hot_group(make):
+    """All hosts in one group and a limit far wider than a bucket: the same chains as a sequential scan finds."""
+    rows = in_order(stream(9, 400, span=2000))
+    df = make(rows)
+    stages = [("exec", None), ("exit", None), ("connect", None)]
+    got = sorted(tuple(r) for r in hunt.sequence(df, stages, None, timedelta(seconds=300), timedelta(seconds=20)).select(
+        "e0.seq", "e1.seq", "e2.seq").collect())
+
+    def after(i, action):
+        return next((j for j in range(i + 1, len(rows)) if rows[j]["action"] == action), None)
+
+    want = []
+    for i, r in enumerate(rows):
+        if r["action"] == "exec":
+            j = after(i, "exit")
+            k = after(j, "connect") if j is not None else None
+            if k is not None and rows[k]["at"] - r["at"] <= 300:
+                want.append((r["seq"], rows[j]["seq"], rows[k]["seq"]))
+    assert got == sorted(want) and len(want) > 20
 
 
 def test_number_rows(spark):
