@@ -152,28 +152,17 @@ def graph_layers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def _cut_cycles(base: DataFrame, state: DataFrame) -> DataFrame:
     """Replace, in each cycle, the pointer into its entry node by one to a fresh root."""
     loose = state.filter("open")
-    # After the doubling every loose node's pointer lies on its cycle.
+    # All loose pointers have been doubled equally often, to more steps than there are nodes. Along a
+    # ring that is a bijection, so they land on every ring node, and on nothing else.
     ring = materialize(loose.select("host", F.col("top").alias("id")).distinct())
     on_ring = base.join(ring, ["host", "id"], "left_semi")
-    # All nodes of one ring must be found, not only those some pointer landed on.
-    grown = ring.count()
-    while True:
-        step = on_ring.select("host", F.col("up").alias("id")).union(ring).distinct()
-        ring = materialize(step)
-        on_ring = base.join(ring, ["host", "id"], "left_semi")
-        size = ring.count()
-        if size == grown:
-            break
-        grown = size
     ring_parent = materialize(on_ring.select("host", "id", "up"))
-    # Smallest id on each ring names it.
-    label = ring_parent.select("host", "id", "up", F.col("id").alias("ring"))
-    while True:
-        nxt = label.select("host", F.col("id").alias("up"), F.col("ring").alias("_r"))
-        better = materialize(label.join(nxt, ["host", "up"]).withColumn("ring", F.least("ring", "_r")).drop("_r"))
-        if better.join(label, ["host", "id", "ring"], "left_anti").isEmpty():
-            break
-        label = better
+    # Smallest id on each ring names it: the least of the nodes ahead, by doubling.
+    label = ring_parent.select("host", "id", F.col("up").alias("top"), F.col("id").alias("ring"))
+    for _ in range(ring_parent.count().bit_length()):
+        ahead = label.select("host", F.col("id").alias("top"), F.col("top").alias("_top"), F.col("ring").alias("_ring"))
+        label = materialize(label.join(ahead, ["host", "top"]).select(
+            "host", "id", F.col("_top").alias("top"), F.least("ring", "_ring").alias("ring")))
     names = label.select("host", "id", "ring")
     # Tails climb to the ring node they hit first.
     open_nodes = base.join(loose.select("host", "id"), ["host", "id"], "left_semi")

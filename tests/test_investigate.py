@@ -148,3 +148,19 @@ def test_bucket_quantile(spark):
     assert metrics.bucket_quantile(h, 0.3).collect()[0].quantile == pytest.approx(30.0)
     assert metrics.bucket_quantile(h, 0.95).collect()[0].quantile == 90.0
     assert len(metrics.LATENCY_BOUNDS) == 11 and len(builtin_rules()) == 53
+
+
+def test_layers_of_a_long_ring_take_few_jobs(spark):
+    """A ring of 100 nodes with a tail: jobs grow with the logarithm, not the length."""
+    n = 100
+    nodes = spark.createDataFrame([("h", f"r{i:05d}") for i in range(n)] + [("h", "a"), ("h", "b")], "host string, id string")
+    edges = spark.createDataFrame([("h", f"r{i:05d}", f"r{(i + 1) % n:05d}", "spawned") for i in range(n)] + [
+        ("h", "r00070", "b", "opened"), ("h", "b", "a", "opened")], "host string, source string, target string, kind string")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("ring", "ring")
+    got = {r.id: r.layer for r in investigate.graph_layers(nodes, edges).collect()}
+    jobs = len(tracker.getJobIdsForGroup("ring"))
+    spark.sparkContext.setJobGroup("rest", "rest")
+    entry = got["r00000"]
+    assert jobs < 300 and len(got) == n + 2 and sorted(v for k, v in got.items() if k.startswith("r")) == list(range(min(got.values()), min(got.values()) + n))
+    assert got["a"] == got["b"] + 1 == got["r00070"] + 2 and entry >= 0
