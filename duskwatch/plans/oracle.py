@@ -648,6 +648,8 @@ SELECT count(*)::BIGINT AS total, count_if(passed)::BIGINT AS passed, count_if(N
         "lake_filter": f"WITH {TEL} SELECT seq, host FROM tel WHERE action = 'connect' AND us BETWEEN {T0} AND {T1} AND contains(lower(concat(name, ' ', executable, ' ', command_line, ' ', path, ' ', target, ' ', dst_ip, ' ', domain, ' ', host)), 'ssh') ORDER BY us DESC, seq DESC LIMIT 30",
         "lake_ascending": f"WITH {TEL} SELECT seq, action FROM tel WHERE host = 'host-5' AND pid = 40",
         "lake_count": "SELECT count(*)::BIGINT AS n FROM events",
+        "alert_retention": f"WITH {RECORDS} SELECT count_if(us >= {T0})::BIGINT AS kept, min(seq) FILTER (us >= {T0}) AS first_seq, count_if(us < {T0})::BIGINT AS pruned FROM records",
+        "alert_append": f"WITH {RECORDS} SELECT id, seq, rule_id, risk_score FROM records",
         "retention": f"WITH {TEL} SELECT count_if(us >= {T0})::BIGINT AS kept, min(seq) FILTER (us >= {T0}) AS first_seq, count_if(us < {T0})::BIGINT AS pruned FROM tel",
         "ecs_events": f"WITH {TEL} SELECT seq, {_ISO.format(c='us')} AS stamp, action, {_ECS_CAT} AS category, {_ECS_TYPE} AS type, nullif(executable, '') AS executable, nullif(ppid, 0) AS parent_pid, nullif(target, '') AS target_path, CASE WHEN dst_ip <> '' THEN dst_port::BIGINT END AS port, nullif(domain, '') AS question, 'linux' AS os FROM tel",
         "ecs_alerts": f"WITH {ALERTS} SELECT seq, 'alert' AS kind, rule_id, severity, tactic, risk::BIGINT AS risk_score FROM alerts",

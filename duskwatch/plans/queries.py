@@ -18,6 +18,7 @@ from ..rules import load_rules
 from ..schema import micros, normalize
 from ..sources.indicators import classify
 from ..sources.lake import lake_query, retention_report, with_lake_columns
+from ..sources.sinks import append_alerts
 from ..sources.sinks import records as record_rows
 from ..streaming.live import tail_alerts
 from ..session import Shelf
@@ -703,6 +704,22 @@ def retention(spark, d):
     return retention_report(telemetry(spark, d), T0)
 
 
+@query
+def alert_retention(spark, d):
+    """A5 for the alert history, whose time column is ``time``."""
+    return retention_report(_records(spark, d), T0, "time")
+
+
+@query
+def alert_append(spark, d):
+    """Alerts appended to a dated table in the shared folder, once more as by a replay, and read back without the doubles."""
+    records, path = _written(spark, _records(spark, d)), f"{Shelf(spark).folder}/alerts"
+    for _ in range(2):
+        append_alerts(records, path)
+    kept = spark.read.parquet(path).dropDuplicates(["id"])
+    return kept.select("id", "seq", "rule_id", _long("risk_score").alias("risk_score"))
+
+
 @query
 def ecs_events(spark, d):
     """B7."""
