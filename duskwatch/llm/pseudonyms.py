@@ -45,8 +45,8 @@ KEY = r"(?i:api_?key|secret|token|password)[\"']?[ ]?[=:][ ]?[\"']?[0-9A-Fa-f]{3
 #: Where one value starts and ends: not within a longer number or word.
 ANY = (rf"{KEY}(?![0-9A-Za-z])|(?<![0-9A-Za-z._%+-]){EMAIL}|(?<![0-9A-Za-z]){PHONE}(?![0-9])"
        rf"|(?<![0-9A-Za-z.-])(?:{IP}|{ISO}|{DOTTED}|{SLASHED}|{SSN})(?![0-9A-Za-z]|[.-][0-9])|(?<![0-9A-Za-z.-]){CARD}(?![0-9A-Za-z])")
-#: What every match has: texts without it are not searched.
-HINT = r"[0-9]"
+#: What every match has: texts without it are not searched. A key may be letters a to f alone.
+HINT = r"[0-9@]|[A-Fa-f]{32}"
 
 
 class Cipher:

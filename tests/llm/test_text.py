@@ -144,6 +144,14 @@ def test_pseudonyms(spark, edge, nothing):
     assert rows.filter("_found = 'mine'").count() == edge.count() and pseudonyms.pseudonymise(nothing, "k").count() == 0
 
 
+def test_pseudonyms_without_digits(spark):
+    texts = ["write to alice@example.com", "write to alice@example.com by 5", "password=" + "abcdefab" * 4]
+    out = pseudonyms.pseudonymise(frame(spark, list(enumerate(texts))), "k").cache()
+    new = {r.doc_id: [(v.kind, v.new) for v in r.replaced] for r in out.collect()}
+    assert new[0] == new[1] and [k for k, _ in new[0]] == ["email"] and "alice" not in new[0][0][1] and [k for k, _ in new[2]] == ["key"]
+    assert {r.doc_id: r.text for r in pseudonyms.restore(out.drop("replaced"), "k").collect()} == dict(enumerate(texts))
+
+
 def test_small_domains_are_permuted(spark):
     """Every two-digit string and every day of a year go to different ones."""
     cipher = pseudonyms.Cipher("k")
