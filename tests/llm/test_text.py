@@ -228,6 +228,19 @@ def test_language(spark, edge, nothing):
     assert {r.lang_pred for r in language.predict(edge, blind).collect()} == {"und"}
 
 
+def test_two_languages_may_share_the_gain():
+    import numpy as np
+
+    scores = np.array([[0, 6, -100], [0, -100, 6]], float)
+    assert language.best_path(scores, 8.0).tolist() == [1, 2]
+    rng = np.random.default_rng(2)
+    for switch in (1.0, 6.0, 8.0, 12.0) * 40:
+        scores = rng.normal(0, 4, (rng.integers(1, 8), 4))
+        path = language.best_path(scores, switch)
+        total = scores[np.arange(len(path)), path].sum() - switch * np.count_nonzero(np.diff(path))
+        assert abs(total - viterbi(scores.tolist(), switch)) < 1e-9
+
+
 def test_scripts_narrow_candidates():
     model = language.LanguageModel({"aa": ["alpha beta gamma delta"] * 5, "ru": ["привет мир слово дело"] * 5})
     (lang, _, spans), = language.label(model, ["alpha beta gamma слово alpha beta"], switch=1.0)
