@@ -9,17 +9,19 @@ holds the key can turn it back (``restore``).
 | kind | valid | what is permuted |
 |---|---|---|
 | card | 13 to 19 digits, Luhn checksum, grouped by spaces or hyphens or not | all digits but the last, which is the new checksum |
-| phone | +country (area) number | the digits after the country code |
+| phone | +country and 8 to 15 digits in all, or without country area 3-4 or 10 to 11 digits from a 0; set apart by spaces, dots, hyphens, parentheses | the digits after the country code, 1 or 0 in front |
 | ssn | 3-2-4 digits, in issued ranges | the three numbers within those ranges |
 | ip | four octets up to 255 | the 32 bits |
-| date | year-month-day, day.month.year or month/day/year that exists, 1900-01-01 to 2102-07-23 | the day number |
+| date | year-month-day (a T may follow), day.month.year, month/day/year or else day/month/year that exists, parts of one or two digits, 1900-01-01 to 2102-07-23 | the day number, among dates with parts of the same width |
 | email | name at domain | the name's letters and digits, each run within its kind and length |
 | key | 32 to 64 hexadecimal digits after a name such as api_key | the digits |
 
 Keys are strings; every round takes a SHA-256 of the key and the message, nested as in HMAC.
 
 Defined cases: null stays null, texts without a valid value stay as they are; values that fail
-their check are left alone; rows are independent.
+their check are left alone; rows are independent. Phone numbers without a country code or a
+separator are digits like any others and stay; one in groups takes in a further group that
+follows after a space, up to 15 digits.
 """
 
 from __future__ import annotations
@@ -33,18 +35,27 @@ ROUNDS = 8
 #: Days from 1900-01-01 that dates are permuted among: 272 * 272.
 DAYS, FIRST_DAY = 272, "1900-01-01"
 
-PHONE = r"\+[1-9][0-9]{0,2} \([0-9]{3}\) [0-9]{3}-[0-9]{4}"
+#: +country and 8 to 15 digits in all, in groups; the North American and the area (3) 3-4 layouts end after their last group.
+PHONE = (r"\+(?:1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])|[1-9][0-9]{0,2} \([0-9]{3}\) [0-9]{3}-[0-9]{4}(?![0-9])"
+         r"|[1-9](?:\)?[ .-]?\(?[0-9]){7,14}(?![0-9]|[/:.-][0-9]))")
+#: Without a country: area 3-4, or 10 to 11 digits from a 0, the area set apart.
+AREA = r"(?:1[ .-])?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}"
+TRUNK = "|".join(rf"(?:\(0[0-9]{{{n - 1}}}\)[ .-]?|0[0-9]{{{n - 1}}}[ .-])[0-9](?:[ .-]?[0-9]){{{9 - n},{10 - n}}}" for n in (2, 3, 4, 5))
+#: Country codes, which no other begins with, where nothing sets them apart.
+COUNTRY = r"1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[1-9][0-9]{2}"
 EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 IP = r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}"
-ISO = r"[0-9]{4}-[0-9]{2}-[0-9]{2}"
-DOTTED = r"[0-9]{2}\.[0-9]{2}\.[0-9]{4}"
-SLASHED = r"[0-9]{2}/[0-9]{2}/[0-9]{4}"
+ISO = r"[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}"
+DOTTED = r"[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}"
+SLASHED = r"[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}"
 SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}"
 CARD = r"[0-9](?:[ -]?[0-9]){12,18}"
 KEY = r"(?i:api_?key|secret|token|password)[\"']?[ ]?[=:][ ]?[\"']?[0-9A-Fa-f]{32,64}"
 #: Where one value starts and ends: not within a longer number or word.
-ANY = (rf"{KEY}(?![0-9A-Za-z])|(?<![0-9A-Za-z._%+-]){EMAIL}|(?<![0-9A-Za-z]){PHONE}(?![0-9])"
-       rf"|(?<![0-9A-Za-z.-])(?:{IP}|{ISO}|{DOTTED}|{SLASHED}|{SSN})(?![0-9A-Za-z]|[.-][0-9])|(?<![0-9A-Za-z.-]){CARD}(?![0-9A-Za-z])")
+END = r"(?![0-9A-Za-z]|[.-][0-9])"
+ANY = (rf"{KEY}(?![0-9A-Za-z])|(?<![0-9A-Za-z._%+-]){EMAIL}|(?<![0-9A-Za-z]){PHONE}"
+       rf"|(?<![0-9A-Za-z.-])(?:{IP}{END}|{ISO}(?:(?=T[0-9])|{END})|(?:{DOTTED}|{SLASHED}|{SSN}){END})"
+       rf"|(?<![0-9A-Za-z.+-])(?:{AREA}|{TRUNK})(?![0-9A-Za-z]|[.-][0-9])|(?<![0-9A-Za-z.-]){CARD}(?![0-9A-Za-z])")
 #: What every match has: texts without it are not searched. A key may be letters a to f alone.
 HINT = r"[0-9@]|[A-Fa-f]{32}"
 
@@ -117,9 +128,19 @@ def _card(m: Column, c: Cipher) -> Column:
     return let(_only_digits(m), of)
 
 
+def _walk(start: Column, step, fits, tries: int) -> Column:
+    """The first of step(start), step(step(start)), ... that fits: so a permutation of all values is one of those that fit. Null beyond ``tries``."""
+    out = F.aggregate(F.sequence(F.lit(1), F.lit(tries)), F.struct(start.alias("v"), F.lit(False).alias("done")), lambda s, _: F.when(s["done"], s).otherwise(
+        let(step(s["v"]), lambda v: F.struct(v.alias("v"), fits(v).alias("done")))))
+    return let(out, lambda s: F.when(s["done"], s["v"]))
+
+
 def _phone(m: Column, c: Cipher) -> Column:
-    country = F.regexp_extract(m, r"^(\+[0-9]+ )(.*)$", 1)
-    return let(F.substring(m, F.length(country) + 1, F.length(m)), lambda r: F.concat(country, _spread(r, c.digits("phone", _only_digits(r), 10))))
+    """Country code, 1 or 0 in front stay. The same number after them has the same digits in every layout."""
+    front = F.when(m.rlike(r"^\+[1-9][0-9]{0,2}[ .(-]"), F.regexp_extract(m, r"^(\+[0-9]+[ .-]?)", 1)) \
+        .when(m.startswith("+"), F.regexp_extract(m, rf"^(\+(?:{COUNTRY}))", 1)) \
+        .when(m.rlike(rf"^(?:{AREA})$"), F.regexp_extract(m, r"^((?:1[ .-])?)", 1)).otherwise(F.regexp_extract(m, r"^(\(?0)", 1))
+    return let(front, lambda f: let(F.substring(m, F.length(f) + 1, F.length(m)), lambda r: F.concat(f, _spread(r, c.digits("phone", _only_digits(r), 10)))))
 
 
 def _ip(m: Column, c: Cipher) -> Column:
@@ -135,15 +156,40 @@ def _ip(m: Column, c: Cipher) -> Column:
     return F.when(~m.rlike(r"(^|\.)0[0-9]"), let(F.split(m, r"\."), of))
 
 
-def _date(m: Column, c: Cipher, form: str) -> Column:
-    def of(d):
-        n = F.datediff(d, F.lit(FIRST_DAY).cast("date"))
-        side = F.lit(DAYS).cast("long")
-        new = c.pair("date", F.floor(n / DAYS), n % DAYS, side, side)
-        moved = let(new, lambda s: F.date_add(F.lit(FIRST_DAY).cast("date"), (s["a"] * DAYS + s["b"]).cast("int")))
-        return F.when((n >= 0) & (n < DAYS * DAYS) & (F.date_format(d, form) == m), F.date_format(moved, form))
+def _date(m: Column, c: Cipher) -> Column:
+    """Order and width of the parts stay: of dates that can be written so, and are read in the same order. Slashed ones are day first if the first is above 12."""
+    side, first = F.lit(DAYS).cast("long"), F.lit(FIRST_DAY).cast("date")
+
+    def of(p):
+        slashed = m.contains("/")
+        turned = slashed & (F.get(p, 0).cast("int") > 12)
+        year = F.when(m.contains("-"), F.get(p, 0)).otherwise(F.get(p, 2))
+        month = F.when(slashed & ~turned, F.get(p, 0)).otherwise(F.get(p, 1))
+        day = F.when(m.contains("-"), F.get(p, 2)).when(slashed & ~turned, F.get(p, 1)).otherwise(F.get(p, 0))
+        iso = F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(day, 2, "0"))
+
+        def moved(n):
+            step = lambda v: let(c.pair("date", F.floor(v / DAYS), v % DAYS, side, side), lambda s: s["a"] * DAYS + s["b"])
+            on = lambda v: F.date_add(first, v.cast("int"))
+            fits = lambda v: ((F.length(month) == 2) | (F.month(on(v)) < 10)) & ((F.length(day) == 2) | (F.dayofmonth(on(v)) < 10)) \
+                & (~turned | (F.dayofmonth(on(v)) > 12))
+            free = (F.length(month) == 2) & (F.length(day) == 2) & ~turned
+            return F.when(free, step(n)).otherwise(_walk(n, step, fits, 300))
+
+        def written(d):
+            part = lambda form, old: F.lpad(F.date_format(d, form), F.length(old), "0")
+            y, mm, dd = F.date_format(d, "yyyy"), part("M", month), part("d", day)
+            return F.when(m.contains("-"), F.concat_ws("-", y, mm, dd)).when(m.contains("."), F.concat_ws(".", dd, mm, y)) \
+                .when(turned, F.concat_ws("/", dd, mm, y)).otherwise(F.concat_ws("/", mm, dd, y))
+
+        def day_number(d):
+            n = F.datediff(d, first).cast("long")
+            return F.when((n >= 0) & (n < DAYS * DAYS) & (F.date_format(d, "yyyy-MM-dd") == iso), n)
+
+        return let(let(F.try_to_timestamp(iso, F.lit("yyyy-MM-dd")).cast("date"), day_number), lambda n: F.when(
+            n.isNotNull(), let(F.date_add(first, moved(n).cast("int")), written)))
 
-    return let(F.try_to_timestamp(m, F.lit(form)).cast("date"), of)
+    return let(F.split(m, "[-./]"), of)
 
 
 def _ssn(m: Column, c: Cipher) -> Column:
@@ -184,14 +230,13 @@ KINDS = ["key", "email", "phone", "ip", "date", "ssn", "card"]
 def _kind(m: Column) -> Column:
     full = lambda p: m.rlike(f"^(?:{p})$")
     return F.when(m.contains("@"), "email").when(full(KEY), "key").when(m.startswith("+"), "phone").when(full(IP), "ip") \
-        .when(full(f"{ISO}|{DOTTED}|{SLASHED}"), "date").when(full(SSN), "ssn").otherwise("card")
+        .when(full(f"{ISO}|{DOTTED}|{SLASHED}"), "date").when(full(SSN), "ssn").when(full(f"{AREA}|{TRUNK}"), "phone").otherwise("card")
 
 
 def _replace(m: Column, kind: Column, c: Cipher) -> Column:
     """The new value, or null where the check fails."""
     return F.when(kind == "email", _email(m, c)).when(kind == "key", _key(m, c)).when(kind == "phone", _phone(m, c)).when(kind == "ip", _ip(m, c)) \
-        .when(kind == "date", F.when(m.contains("-"), _date(m, c, "yyyy-MM-dd")).when(m.contains("."), _date(m, c, "dd.MM.yyyy"))
-              .otherwise(_date(m, c, "MM/dd/yyyy"))) \
+        .when(kind == "date", _date(m, c)) \
         .when(kind == "ssn", _ssn(m, c)).when(kind == "card", _card(m, c))
 
 

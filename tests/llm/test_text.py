@@ -152,6 +152,27 @@ def test_pseudonyms_without_digits(spark):
     assert {r.doc_id: r.text for r in pseudonyms.restore(out.drop("replaced"), "k").collect()} == dict(enumerate(texts))
 
 
+def test_phone_and_date_layouts(spark):
+    phones = ["(415) 555-0132", "415-555-0132", "415.555.0132", "415 555 0132", "1-415-555-0132", "+14155550132", "+1 415 555 0132", "+44 20 7946 0958",
+              "+442079460958", "+49 (0)30 123456", "+49-30-1234567", "020 7946 0958", "(030) 1234567"]
+    dates = ["25/12/2001", "3/7/1999", "3/17/1999", "31/1/1999", "1.2.2003", "01.2.2003", "2024-2-9", "2024-02-29", "12/25/2001"]
+    other = ["30/30/2001", "2/30/2001", "31.2.2003", "4155550132", "+1234567", "1.2.3", "12 34 56"]
+    texts = [f"at {p}, or" for p in phones] + [f"on {d}, or" for d in dates] + ["2024-02-29T10:00:00"] + [f"is {o} or" for o in other] + ["+44 20 7946 0958 12:30"]
+    out = pseudonyms.pseudonymise(frame(spark, list(enumerate(texts))), "k").cache()
+    got = {r.doc_id: ([(v.kind, v.new) for v in r.replaced], r.text) for r in out.collect()}
+    new = [got[i][0] for i in range(len(texts))]
+    n, k = len(phones), len(phones) + len(dates)
+    assert [[x for x, _ in v] for v in new] == [["phone"]] * n + [["date"]] * (len(dates) + 1) + [[]] * len(other) + [["phone"]]
+    shape = lambda t: re.sub("[0-9]", "0", t)
+    assert all(shape(v[0][1]) == shape(o) and v[0][1] != o for v, o in zip(new, phones + dates))
+    bare = [re.sub("[^0-9]", "", v[0][1])[-10:] for v in new[:7]]
+    assert len(set(bare)) == 1 and new[8][0][1] == new[7][0][1].replace(" ", "") == new[-1][0][1].replace(" ", "")
+    assert got[k][1].endswith("T10:00:00") and new[k][0][1] == new[n + dates.index("2024-02-29")][0][1]
+    d, m, y = map(int, new[n][0][1].split("/"))
+    assert d > 12 and date(y, m, d)
+    assert {r.doc_id: r.text for r in pseudonyms.restore(out.drop("replaced"), "k").collect()} == dict(enumerate(texts))
+
+
 def test_small_domains_are_permuted(spark):
     """Every two-digit string and every day of a year go to different ones."""
     cipher = pseudonyms.Cipher("k")
