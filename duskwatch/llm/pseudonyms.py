@@ -8,7 +8,7 @@ holds the key can turn it back (``restore``).
 
 | kind | valid | what is permuted |
 |---|---|---|
-| card | 13 to 19 digits, Luhn checksum, grouped by spaces or hyphens or not | all digits but the last, which is the new checksum |
+| card | 13 to 19 digits, Luhn checksum, grouped by spaces or hyphens or not; numbers in further groups before or behind stay | all digits but the last, which is the new checksum |
 | phone | +country and 8 to 15 digits in all, or without country area 3-4 or 10 to 11 digits from a 0; set apart by spaces, dots, hyphens, parentheses | the digits after the country code, 1 or 0 in front |
 | ssn | 3-2-4 digits, in issued ranges | the three numbers within those ranges |
 | ip | four octets up to 255 | the 32 bits |
@@ -49,13 +49,20 @@ ISO = r"[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}"
 DOTTED = r"[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}"
 SLASHED = r"[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}"
 SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}"
-CARD = r"[0-9](?:[ -]?[0-9]){12,18}"
+#: Usual groupings of cards, or none; three to one digits behind may be the card's or another number.
+GROUPED = "|".join(rf"[0-9]{{4}}{p}[0-9]{{4}}{p}[0-9]{{4}}{p}[0-9]{{4}}(?:{p}(?!DATES)[0-9]{{1,3}})?(?![0-9A-Za-z])|[0-9]{{4}}{p}[0-9]{{6}}{p}[0-9]{{4,5}}(?![0-9A-Za-z])" for p in " -") \
+    .replace("DATES", f"(?:{ISO}|{DOTTED}|{SLASHED}|{SSN})(?![0-9A-Za-z])") + "|[0-9]{13,19}(?![0-9A-Za-z])"
 KEY = r"(?i:api_?key|secret|token|password)[\"']?[ ]?[=:][ ]?[\"']?[0-9A-Fa-f]{32,64}"
 #: Where one value starts and ends: not within a longer number or word.
 END = r"(?![0-9A-Za-z]|[.-][0-9])"
+PLAIN = rf"{IP}{END}|{ISO}(?:(?=T[0-9])|{END})|(?:{DOTTED}|{SLASHED}|{SSN}){END}|{GROUPED}|(?:{AREA}|{TRUNK}){END}"
+#: Any other grouping of 13 to 19 digits, up to where another value starts.
+CARD = rf"[0-9](?:[0-9]|[ -](?!{PLAIN})[0-9]){{12,18}}"
 ANY = (rf"{KEY}(?![0-9A-Za-z])|(?<![0-9A-Za-z._%+-]){EMAIL}|(?<![0-9A-Za-z]){PHONE}"
-       rf"|(?<![0-9A-Za-z.-])(?:{IP}{END}|{ISO}(?:(?=T[0-9])|{END})|(?:{DOTTED}|{SLASHED}|{SSN}){END})"
-       rf"|(?<![0-9A-Za-z.+-])(?:{AREA}|{TRUNK})(?![0-9A-Za-z]|[.-][0-9])|(?<![0-9A-Za-z.-]){CARD}(?![0-9A-Za-z])")
+       rf"|(?<![0-9A-Za-z.-])(?:{IP}{END}|{ISO}(?:(?=T[0-9])|{END})|(?:{DOTTED}|{SLASHED}|{SSN}){END}|{GROUPED})"
+       rf"|(?<![0-9A-Za-z.+-])(?:{AREA}|{TRUNK}){END}|(?<![0-9A-Za-z.-]){CARD}(?![0-9A-Za-z])")
+#: Numbers of digits of a card, in the order in which they are tried.
+CARD_SIZES = (16, 15, 19, 14, 18, 17, 13)
 #: What every match has: texts without it are not searched. A key may be letters a to f alone.
 HINT = r"[0-9@]|[A-Fa-f]{32}"
 
@@ -119,15 +126,6 @@ def checksum(body: Column) -> Column:
     return F.pmod(-total["n"], F.lit(10)).cast("string")
 
 
-def _card(m: Column, c: Cipher) -> Column:
-    def of(d):
-        body = F.substring(d, F.lit(1), F.length(d) - 1)
-        valid = checksum(body) == F.substring(d, -1, 1)
-        return F.when(valid, let(c.digits("card", body, 10), lambda b: _spread(m, F.concat(b, checksum(b)))))
-
-    return let(_only_digits(m), of)
-
-
 def _walk(start: Column, step, fits, tries: int) -> Column:
     """The first of step(start), step(step(start)), ... that fits: so a permutation of all values is one of those that fit. Null beyond ``tries``."""
     out = F.aggregate(F.sequence(F.lit(1), F.lit(tries)), F.struct(start.alias("v"), F.lit(False).alias("done")), lambda s, _: F.when(s["done"], s).otherwise(
@@ -135,6 +133,41 @@ def _walk(start: Column, step, fits, tries: int) -> Column:
     return let(out, lambda s: F.when(s["done"], s["v"]))
 
 
+def _valid_card(d: Column) -> Column:
+    return checksum(F.substring(d, F.lit(1), F.length(d) - 1)) == F.substring(d, -1, 1)
+
+
+def _card_place(m: Column) -> Column:
+    """(start, rank, size): which of a candidate's whole groups are the card; the first start, sizes in the order of CARD_SIZES. Null if none."""
+    def of(at):
+        single = lambda i: F.substring(m, i, F.lit(1)).rlike("[0-9]")
+        starts = F.filter(at, lambda i: single(i) & ((i == 1) | ~single(i - 1)))
+        ends = F.filter(at, lambda i: single(i) & ((i == F.length(m)) | ~single(i + 1)))
+        each = F.flatten(F.transform(starts, lambda a: F.transform(ends, lambda b: let(_only_digits(F.substring(m, a, b - a + 1)), lambda d: F.struct(
+            a.alias("start"), F.array_position(F.array(*map(F.lit, CARD_SIZES)), F.length(d)).cast("int").alias("rank"), (b - a + 1).alias("size"), d.alias("d"))))))
+        good = F.filter(each, lambda w: F.when((w["size"] > 0) & (w["rank"] > 0), _valid_card(w["d"])).otherwise(False))
+        return let(F.array_min(good), lambda w: F.when(w.isNotNull(), F.struct(w["start"].alias("start"), w["rank"].alias("rank"), w["size"].alias("size"))))
+
+    return let(F.sequence(F.lit(1), F.length(m)), of)
+
+
+def _card(m: Column, place: Column, c: Cipher) -> Column:
+    """The card alone. New digits are those that make the same choice of groups, so that it can be turned back."""
+    core = F.substring(m, place["start"], place["size"])
+    step = lambda d: let(c.digits("card", F.substring(d, F.lit(1), F.length(d) - 1), 10), lambda b: F.concat(b, checksum(b)))
+
+    def fits(d):
+        whole = F.concat(F.substring(m, F.lit(1), place["start"] - 1), _spread(core, d), F.substring(m, place["start"] + place["size"], F.length(m)))
+        # Other groupings may read as a phone number where they start with a 0.
+        return let(whole, lambda w: _card_place(w).eqNullSafe(place) & (m.rlike(f"^(?:{GROUPED})$") | (w.startswith("0") == m.startswith("0"))))
+
+    def new(d):
+        alone = m.rlike("^[0-9]+$")
+        return F.when(alone, step(d)).otherwise(_walk(d, step, fits, 100))
+
+    return let(let(_only_digits(core), new), lambda d: _spread(core, d))
+
+
 def _phone(m: Column, c: Cipher) -> Column:
     """Country code, 1 or 0 in front stay. The same number after them has the same digits in every layout."""
     front = F.when(m.rlike(r"^\+[1-9][0-9]{0,2}[ .(-]"), F.regexp_extract(m, r"^(\+[0-9]+[ .-]?)", 1)) \
@@ -230,14 +263,14 @@ KINDS = ["key", "email", "phone", "ip", "date", "ssn", "card"]
 def _kind(m: Column) -> Column:
     full = lambda p: m.rlike(f"^(?:{p})$")
     return F.when(m.contains("@"), "email").when(full(KEY), "key").when(m.startswith("+"), "phone").when(full(IP), "ip") \
-        .when(full(f"{ISO}|{DOTTED}|{SLASHED}"), "date").when(full(SSN), "ssn").when(full(f"{AREA}|{TRUNK}"), "phone").otherwise("card")
+        .when(full(f"{ISO}|{DOTTED}|{SLASHED}"), "date").when(full(SSN), "ssn").when(full(GROUPED), "card").when(full(f"{AREA}|{TRUNK}"), "phone").otherwise("card")
 
 
-def _replace(m: Column, kind: Column, c: Cipher) -> Column:
+def _replace(m: Column, kind: Column, place: Column, c: Cipher) -> Column:
     """The new value, or null where the check fails."""
     return F.when(kind == "email", _email(m, c)).when(kind == "key", _key(m, c)).when(kind == "phone", _phone(m, c)).when(kind == "ip", _ip(m, c)) \
         .when(kind == "date", _date(m, c)) \
-        .when(kind == "ssn", _ssn(m, c)).when(kind == "card", _card(m, c))
+        .when(kind == "ssn", _ssn(m, c)).when(kind == "card", F.when(place.isNotNull(), _card(m, place, c)))
 
 
 def pseudonymise(docs: DataFrame, key: str, inverse: bool = False) -> DataFrame:
@@ -247,11 +280,16 @@ def pseudonymise(docs: DataFrame, key: str, inverse: bool = False) -> DataFrame:
     out = packed(docs, apart="text").withColumn("_found", F.when(F.array_size(found) > 0, found))
 
     def value(m):
-        return let(_kind(m), lambda k: let(_replace(m, k, cipher), lambda v: F.struct(k.alias("kind"), m.alias("old"), v.alias("new"))))
+        def of(k):
+            return let(F.when(k == "card", _card_place(m)), lambda p: let(_replace(m, k, p, cipher), lambda v: F.struct(
+                k.alias("kind"), v.alias("new"), F.when(v.isNull(), m).when(k != "card", v).otherwise(F.concat(
+                    F.substring(m, F.lit(1), p["start"] - 1), v, F.substring(m, p["start"] + p["size"], F.length(m)))).alias("whole"))))
+
+        return let(_kind(m), of)
 
     out = out.withColumn("_values", F.transform("_found", value))
     joined = let(F.split("text", ANY), lambda gaps: F.array_join(F.transform(gaps, lambda g, i: F.concat(
-        g, F.coalesce(F.get("_values", i)["new"], F.get("_values", i)["old"], F.lit("")))), ""))
+        g, F.coalesce(F.get("_values", i)["whole"], F.lit("")))), ""))
     text = F.when(F.col("_found").isNull(), F.col("text")).otherwise(joined)
     replaced = F.transform(F.filter("_values", lambda v: v["new"].isNotNull()), lambda v: F.struct(v["kind"].alias("kind"), v["new"].alias("new")))
     empty = F.array().cast("array<struct<kind:string,new:string>>")

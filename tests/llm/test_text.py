@@ -173,6 +173,30 @@ def test_phone_and_date_layouts(spark):
     assert {r.doc_id: r.text for r in pseudonyms.restore(out.drop("replaced"), "k").collect()} == dict(enumerate(texts))
 
 
+def test_cards_beside_numbers(spark):
+    """A card is found, and gets the same new digits, whatever number follows or precedes it."""
+    tails = ["", " 12/25", " 123", " 12/25 123", " 12/25/2026", " 2026-12-25", " 415-555-0132", " 5500 0000 0000 0004", " 5500000000000004", "-123"]
+    texts = [c + t for c in ("4111111111111111", "4111 1111 1111 1111", "4111-1111-1111-1111") for t in tails]
+    texts += ["12 4111111111111111", "12 4111 1111 1111 1111", "3782 822463 10005 1234", "6304 0000 0000 0000 000", "41111111 11111111", "4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1 12"]
+    texts += [f"4111 1111 1111 1111 {i:03d}" for i in range(40)]
+    more = [f"{b}{(10 - sum(int(c) * 2 - 9 * (int(c) > 4) if i % 2 == 0 else int(c) for i, c in enumerate(reversed(b)))) % 10}" for b in (f"63040000000000{i:04d}" for i in range(60))]
+    texts += [" ".join([t[:4], t[4:8], t[8:12], t[12:16], t[16:]]) for t in more]
+    out = pseudonyms.pseudonymise(frame(spark, list(enumerate(texts))), "k").cache()
+    got = {r.doc_id: ([(v.kind, v.new) for v in r.replaced], r.text) for r in out.collect()}
+    plain = got[0][0][0][1]
+    for i, t in enumerate(texts):
+        found = [re.sub("[ -]", "", v) for k, v in got[i][0] if k == "card"]
+        assert found and all(map(luhn, found)), t
+        if re.sub("[ -]", "", t).startswith("4111111111111111") and not t.startswith("41111111 ") and not t.startswith("4 1"):
+            assert found[0] == plain, t
+        if "5500" in t:
+            assert len(found) == 2, t
+    assert all(got[i][1].endswith(t[-3:]) for i, t in enumerate(texts) if t.endswith((" 123", "12/25", "-123")))
+    assert got[4][0][1][0] == got[5][0][1][0] == "date" and got[6][0][1][0] == "phone"
+    assert got[30][1] == "12 " + plain and re.sub(" ", "", got[31][1]) == "12" + plain and all(luhn(v) for v in more)
+    assert {r.doc_id: r.text for r in pseudonyms.restore(out.drop("replaced"), "k").collect()} == dict(enumerate(texts))
+
+
 def test_small_domains_are_permuted(spark):
     """Every two-digit string and every day of a year go to different ones."""
     cipher = pseudonyms.Cipher("k")
