@@ -10,8 +10,9 @@ n switches has at most n + 1 runs in other languages, so if no other language ga
 the penalty over any run of words, no number of switches can pay. Only other texts take the
 word-by-word recursion.
 
-Training reads a bounded sample: of each language about ``TEXTS`` texts of at most ``LONGEST``
-characters, chosen by a hash of doc_id. At most ``LANGUAGES`` languages, those with most texts.
+Training counts, in tasks, the trigrams of a bounded sample of every language: about ``TEXTS``
+texts, chosen by a hash of doc_id, and of a text of more than ``LONGEST`` characters a piece of
+that length.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; a word in a script
 that no learned language has may be any; without a learned language every text is ``und``.
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import chunks, small_batches
 from .compression import held_out
 
-TEXTS, LONGEST, LANGUAGES = 1500, 8_000, 200
+TEXTS, LONGEST = 1500, 8_000
 #: Cells of the trigram tables, and what an unseen trigram counts as.
 CELLS, SMOOTH = 1 << 16, 0.3
 SWITCH = 8.0
@@ -86,25 +87,38 @@ class Words:
         self.script = script[data[self.start]]
 
 
+def counted(texts: list[str]) -> np.ndarray:
+    """How often each trigram cell, and behind them each script of a word, comes in the texts."""
+    words = Words(texts)
+    return np.r_[np.bincount(words.cells, minlength=CELLS), np.bincount(words.script, minlength=len(NAMES))]
+
+
 class LanguageModel:
     """Languages, their scripts and trigram tables (256 KB each), as sent to the executors."""
 
     def __init__(self, samples: dict[str, list[str]]) -> None:
-        self.languages = sorted(samples)
+        self._learn({lang: counted(texts) for lang, texts in samples.items()})
+
+    @classmethod
+    def of_counts(cls, counts: dict[str, np.ndarray]) -> LanguageModel:
+        model = cls.__new__(cls)
+        model._learn(counts)
+        return model
+
+    def _learn(self, counts: dict[str, np.ndarray]) -> None:
+        self.languages = sorted(counts)
         self.table = np.zeros((len(self.languages), CELLS), np.float32)
         self.written = np.zeros((len(NAMES), len(self.languages)), bool)
         for k, lang in enumerate(self.languages):
-            words = Words(samples[lang])
-            counts = np.bincount(words.cells, minlength=CELLS) + SMOOTH
-            self.table[k] = np.log(counts / counts.sum())
-            share = np.bincount(words.script, minlength=len(NAMES)) / max(1, len(words.script))
-            self.written[:, k] = share >= SCRIPT_SHARE
+            cells, scripts = counts[lang][:CELLS] + SMOOTH, counts[lang][CELLS:]
+            self.table[k] = np.log(cells / cells.sum())
+            self.written[:, k] = scripts / max(1, scripts.sum()) >= SCRIPT_SHARE
         self.written[~self.written.any(axis=1)] = True
 
     def word_scores(self, words: Words) -> np.ndarray:
         """(words, languages): sums of log chances; far below all others where the script rules a language out."""
         out = np.empty((len(words.start), len(self.languages)), np.float64)
-        step = 1 << 16
+        step = max(1 << 10, (1 << 19) // max(8, len(self.languages)))
         for a in range(0, len(out), step):
             b = min(len(out), a + step)
             lo, hi = words.offset[a], words.offset[b]
@@ -120,7 +134,7 @@ def best_path(scores: np.ndarray, switch: float) -> np.ndarray:
     gain = np.cumsum(np.vstack([np.zeros(k), scores - scores[:, main : main + 1]]), axis=0)
     if (gain - np.minimum.accumulate(gain, axis=0)).max() <= switch / 2:
         return np.full(count, main)
-    now, came = scores[0].copy(), np.empty((count, k), np.int16)
+    now, came = scores[0].copy(), np.empty((count, k), np.int32)
     stay = np.arange(k)
     for t in range(1, count):
         top = int(now.argmax())
@@ -158,16 +172,36 @@ def label(model: LanguageModel, texts: list[str], switch: float = SWITCH) -> lis
 def fit(docs: DataFrame, texts: int = TEXTS) -> LanguageModel:
     """Learns from the text and lang of rows that are not held out."""
     own = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    # At most LANGUAGES rows reach the driver.
-    counts = {r["lang"]: r["count"] for r in own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
-    if not counts:
-        return LanguageModel({})
-    cut = F.coalesce(*(F.when(F.col("lang") == lang, F.lit(min(SLICES, 1 + texts * SLICES // n))) for lang, n in counts.items()), F.lit(0))
-    chosen = own.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SLICES)) < cut).filter(F.length("text") <= LONGEST)
-    samples: dict[str, list[str]] = {lang: [] for lang in counts}
-    for row in sorted(chosen.select("doc_id", "lang", "text").collect()):
-        samples[row["lang"]].append(row["text"])
-    return LanguageModel(samples)
+    # One row for each language reaches the driver, and the cells that its sample has.
+    counts = own.groupBy("lang").count()
+    share = F.least(F.lit(SLICES), 1 + F.floor(F.lit(texts * SLICES) / F.col("count")))
+    chosen = own.join(counts, "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(SLICES)) < share)
+    start = 1 + F.pmod(F.xxhash64(F.lit(1), F.col("doc_id")), F.greatest(F.lit(1), F.length("text") - LONGEST + 1))
+    small_batches(docs.sparkSession)
+    cells = chosen.select("lang", F.substring("text", start.cast("int"), F.lit(LONGEST)).alias("text")).mapInArrow(_count, "lang string, cell int, n long")
+    found = cells.groupBy("lang", "cell").agg(F.sum("n").alias("n")).toArrow()
+    learned = {r["lang"]: np.zeros(CELLS + len(NAMES), np.int64) for r in counts.collect()}
+    groups = found.column("lang").combine_chunks().dictionary_encode()
+    groups = groups.combine_chunks() if isinstance(groups, pa.ChunkedArray) else groups
+    of, cell, n = groups.indices.to_numpy(), found.column("cell").to_numpy(), found.column("n").to_numpy()
+    order = np.argsort(of, kind="stable")
+    ends = np.searchsorted(of[order], np.arange(len(groups.dictionary) + 1))
+    for k, lang in enumerate(groups.dictionary.to_pylist()):
+        rows = order[ends[k] : ends[k + 1]]
+        learned[lang][cell[rows]] = n[rows]
+    return LanguageModel.of_counts(learned)
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, cell, n): the counts of each batch's texts."""
+    for batch in batches:
+        samples: dict[str, list[str]] = {}
+        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
+            samples.setdefault(lang, []).append(text)
+        for lang, own in samples.items():
+            counts = counted(own)
+            cells = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(cells), pa.string()), pa.array(cells, pa.int32()), pa.array(counts[cells], pa.int64())], names=["lang", "cell", "n"])
 
 
 def _predict(sent, switch: float):
@@ -179,7 +213,8 @@ def _predict(sent, switch: float):
             texts = batch.column("text").to_pylist()
             sizes = [(t or "").encode() for t in texts]
             found = []
-            for lo, hi in chunks(sizes, 1 << 19):
+            # Scores are a number for each word and language: fewer words at a time where there are many.
+            for lo, hi in chunks(sizes, max(1 << 13, min(1 << 19, (1 << 24) // max(1, len(model.languages))))):
                 own = [t or "" for t in texts[lo:hi]]
                 found += label(model, own, switch) if model.languages else [("und", 0.0, [])] * len(own)
             yield pa.RecordBatch.from_arrays(

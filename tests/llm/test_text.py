@@ -291,6 +291,20 @@ def test_language(spark, edge, nothing):
     assert {r.lang_pred for r in language.predict(edge, blind).collect()} == {"und"}
 
 
+def test_every_language_is_learned(spark):
+    """More than 200 languages, the rarest with one long text only."""
+    names = [a + b for a in "abcdefghijklmnop" for b in "abcdefghijklmnop"][:230]
+    word = lambda n: " ".join((n * 3 + c) for c in "qrstuv")
+    rows = [(100 * i + j, lang, word(lang)) for i, lang in enumerate(names) for j in range(6)]
+    long = " ".join(["wxyzzy yzwxxw zzyxw"] * 600)
+    rows += [(90_000 + j, "zz", long) for j in range(3)]
+    docs = frame(spark, rows, "doc_id long, lang string, text string")
+    model = language.fit(docs)
+    assert model.languages == sorted([*names, "zz"]) and len(long) > language.LONGEST
+    got = language.label(model, ["wxyzzy yzwxxw zzyxw", word(names[-1])])
+    assert [g[0] for g in got] == ["zz", names[-1]]
+
+
 def test_two_languages_may_share_the_gain():
     import numpy as np
 
