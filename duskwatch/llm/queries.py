@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.telemetry import table
-from . import compression, decontaminate, jaccard, language, licenses, lines, pieces, pseudonyms, quality, urls
+from . import compression, decontaminate, infill, jaccard, language, licenses, lines, packing, pieces, pseudonyms, quality, urls, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -97,3 +97,31 @@ def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.size("families").cast("long").alias("n_families"), F.array_join("families", ",").alias("families"),
                         F.coalesce(F.array_size("spans"), F.lit(0)).cast("long").alias("n_paragraphs"))
+
+
+@query
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.quantized(table(spark, sf_dir, "embeddings"))
+    found = whitening.whiten(rows, whitening.fit(rows))
+    parts = F.posexplode(F.arrays_zip("whitened", "explained")).alias("place", "part")
+    return found.select("id", "n", "deviation", "identity_error", parts).select(
+        F.col("id").alias("vec_id"), (F.col("place") + 1).alias("component"), "n", F.expr("try_cast(deviation AS long)").alias("deviation"),
+        "part.whitened", "part.explained", "identity_error")
+
+
+@query
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The rank file of the vocabulary byte_bpe_50k.json; tests hold its ids equal to those of that file.
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    pieces = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = infill.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"),
+                        digest(infill.restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
