@@ -2,7 +2,7 @@ import random
 
 import brute
 import pytest
-from conftest import CLASHES, prose
+from text_helpers import CLASHES, prose
 
 from duskwatch.llm import components, decontaminate, jaccard, lines
 from duskwatch.session import Shelf

@@ -2,7 +2,7 @@ import random
 
 import brute
 import corpus_pipeline
-from conftest import CLASHES, prose
+from text_helpers import CLASHES, prose
 
 from duskwatch.llm import pieces, quality
 from duskwatch.llm.oracle import ORACLE

@@ -4,7 +4,7 @@ from datetime import date
 
 import brute
 import pytest
-from conftest import CLASHES, prose
+from text_helpers import CLASHES, prose
 from pyspark.sql import functions as F
 
 from duskwatch.llm import compression, language, licenses, pieces, pseudonyms, quality, urls
