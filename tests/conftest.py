@@ -1,20 +1,15 @@
 import os
 import sys
-from datetime import datetime, timedelta, timezone
+from datetime import timedelta
 
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+HERE = os.path.dirname(os.path.abspath(__file__))
+sys.path[:0] = [os.path.dirname(HERE), HERE]
 
-from duskwatch.session import local_session  # noqa: E402
+from event_helpers import BASE, SPARSE  # noqa: E402
 
-SPARSE = ("seq long, ts timestamp, host string, action string, "
-          "process struct<pid:long,ppid:long,name:string,executable:string,command_line:string,start_time_ns:long,"
-          "stdio_socket:boolean,parent_name:string,sha256:string>, user struct<id:long,name:string>, "
-          "file struct<path:string,target:string,mode:int>, "
-          "network struct<src_ip:string,dst_ip:string,dst_port:int,domain:string>, "
-          "syscall struct<request:long,new_uid:long>")
-BASE = datetime(2024, 5, 1, tzinfo=timezone.utc)
+from duskwatch.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")

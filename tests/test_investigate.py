@@ -14,7 +14,7 @@ RECORD = ("id string, agent_id string, hostname string, time timestamp, rule_id
 
 
 def record(spark, rows):
-    from conftest import BASE
+    from event_helpers import BASE
     from datetime import timedelta
 
     full = [(r.get("id", f"a{i}"), "ag", r.get("host", "h"), BASE + timedelta(minutes=r.get("at", i)), r.get("rule", "R-0001"),
@@ -102,7 +102,7 @@ def test_posture_and_playbooks(spark):
 
 
 def test_alert_history(spark):
-    from conftest import BASE
+    from event_helpers import BASE
     from datetime import timedelta
 
     rows = record(spark, [{"host": "a", "severity": "high", "technique": "T1"}, {"host": "b", "severity": "low"}, {"host": "a", "incident": True, "severity": "critical"}])
