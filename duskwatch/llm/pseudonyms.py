@@ -13,7 +13,7 @@ holds the key can turn it back (``restore``).
 | ssn | 3-2-4 digits, in issued ranges | the three numbers within those ranges |
 | ip | four octets up to 255 | the 32 bits |
 | date | year-month-day (a T may follow), day.month.year, month/day/year or else day/month/year that exists, parts of one or two digits, 1900-01-01 to 2102-07-23 | the day number, among dates with parts of the same width |
-| email | name at domain | the name's letters and digits, each run within its kind and length |
+| email | name at domain | the name's letters and digits together, each in its places, by domain and layout |
 | key | 32 to 64 hexadecimal digits after a name such as api_key | the digits |
 
 Keys are strings; every round takes a SHA-256 of the key and the message, nested as in HMAC.
@@ -32,6 +32,12 @@ from pyspark.sql import functions as F
 from .common import let, packed, unpacked
 
 ROUNDS = 8
+#: Rounds for each part of a value of many digits, and how many digits of a base one part holds.
+PART_ROUNDS, WIDE = 4, {10: 15, 16: 12, 26: 10}
+#: Characters of an e-mail name that are permuted together; longer ones, which mail does not allow, in blocks.
+NAME_BLOCK = 64
+#: Values tried for one that fits its layout.
+TRIES = 6000
 #: Days from 1900-01-01 that dates are permuted among: 272 * 272.
 DAYS, FIRST_DAY = 272, "1900-01-01"
 
@@ -45,10 +51,13 @@ TRUNK = "|".join(rf"(?:\(0[0-9]{{{n - 1}}}\)[ .-]?|0[0-9]{{{n - 1}}}[ .-])[0-9](
 COUNTRY = r"1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[1-9][0-9]{2}"
 EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 IP = r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}"
-ISO = r"[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}"
-DOTTED = r"[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}"
-SLASHED = r"[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}"
-SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}"
+#: Dates by the calendar but for leap years, in the years that are permuted; numbers in issued ranges. What is none of these may be part of a card.
+YEAR = "(?:19[0-9]{2}|20[0-9]{2}|210[0-2])"
+MONTHS = {"(?:0?[13578]|1[02])": "(?:0?[1-9]|[12][0-9]|3[01])", "(?:0?[469]|11)": "(?:0?[1-9]|[12][0-9]|30)", "0?2": "(?:0?[1-9]|[12][0-9])"}
+ISO = YEAR + "-(?:" + "|".join(f"{m}-{d}" for m, d in MONTHS.items()) + ")"
+DOTTED = "(?:" + "|".join(rf"{d}\.{m}" for m, d in MONTHS.items()) + rf")\.{YEAR}"
+SLASHED = "(?:" + "|".join(f"{m}/{d}|{d}/{m}" for m, d in MONTHS.items()) + f")/{YEAR}"
+SSN = r"(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}"
 #: Usual groupings of cards, or none; three to one digits behind may be the card's or another number.
 GROUPED = "|".join(rf"[0-9]{{4}}{p}[0-9]{{4}}{p}[0-9]{{4}}{p}[0-9]{{4}}(?:{p}(?!DATES)[0-9]{{1,3}})?(?![0-9A-Za-z])|[0-9]{{4}}{p}[0-9]{{6}}{p}[0-9]{{4,5}}(?![0-9A-Za-z])" for p in " -") \
     .replace("DATES", f"(?:{ISO}|{DOTTED}|{SLASHED}|{SSN})(?![0-9A-Za-z])") + "|[0-9]{13,19}(?![0-9A-Za-z])"
@@ -56,8 +65,8 @@ KEY = r"(?i:api_?key|secret|token|password)[\"']?[ ]?[=:][ ]?[\"']?[0-9A-Fa-f]{3
 #: Where one value starts and ends: not within a longer number or word.
 END = r"(?![0-9A-Za-z]|[.-][0-9])"
 PLAIN = rf"{IP}{END}|{ISO}(?:(?=T[0-9])|{END})|(?:{DOTTED}|{SLASHED}|{SSN}){END}|{GROUPED}|(?:{AREA}|{TRUNK}){END}"
-#: Any other grouping of 13 to 19 digits, up to where another value starts.
-CARD = rf"[0-9](?:[0-9]|[ -](?!{PLAIN})[0-9]){{12,18}}"
+#: Any other grouping of 13 to 19 digits, up to where another value starts; none starts behind a hyphen.
+CARD = rf"[0-9](?:[0-9]|-[0-9]| (?!{PLAIN})[0-9]){{12,18}}"
 ANY = (rf"{KEY}(?![0-9A-Za-z])|(?<![0-9A-Za-z._%+-]){EMAIL}|(?<![0-9A-Za-z]){PHONE}"
        rf"|(?<![0-9A-Za-z.-])(?:{IP}{END}|{ISO}(?:(?=T[0-9])|{END})|(?:{DOTTED}|{SLASHED}|{SSN}){END}|{GROUPED})"
        rf"|(?<![0-9A-Za-z.+-])(?:{AREA}|{TRUNK}){END}|(?<![0-9A-Za-z.-]){CARD}(?![0-9A-Za-z])")
@@ -91,18 +100,65 @@ class Cipher:
 
         return F.aggregate(order, F.struct(a.cast("long").alias("a"), b.cast("long").alias("b")), step)
 
-    def digits(self, kind: str, text: Column, base: int) -> Column:
-        """A permutation of the strings of one length in the digits of ``base``; lower case. Runs of 12 at a time."""
-        def part(p):
-            left = F.floor(F.length(p) / 2).cast("int")
-            size = [F.pow(F.lit(base), n).cast("long") for n in (left, F.length(p) - left)]
-            number = lambda s: F.coalesce(F.conv(s, base, 10).cast("long"), F.lit(0).cast("long"))
-            word = lambda n, width: F.when(width > 0, F.lpad(F.lower(F.conv(n.cast("string"), 10, base)), width, "0")).otherwise(F.lit(""))
-            new = self.pair(kind, number(F.substring(p, F.lit(1), left)), number(F.substring(p, left + 1, F.length(p))), *size)
-            return let(new, lambda s: F.concat(word(s["a"], left), word(s["b"], F.length(p) - left)))
+    def permute(self, kind: str, tweak: Column, values: Column, sizes: Column) -> Column:
+        """A permutation of all arrays of longs below ``sizes``, chosen by ``tweak``: each round moves one part by what the others say."""
+        m, sign = F.size(values), -1 if self.inverse else 1
+        last = PART_ROUNDS * m - 1
+        order = F.sequence(last, F.lit(0)) if self.inverse else F.sequence(F.lit(0), last)
 
-        starts = F.sequence(F.lit(1), F.length(text), F.lit(12))
-        return F.array_join(F.transform(starts, lambda i: let(F.substring(text, i, F.lit(12)), part)), "")
+        def step(s, i):
+            j = F.pmod(i, m)
+            others = F.concat_ws("|", tweak, F.transform(s, lambda v, k: F.when(k == j, F.lit("")).otherwise(v.cast("string"))))
+            size = F.get(sizes, j)
+            move = F.pmod(F.get(s, j) + sign * (self._round(kind, i, others, size) % size), size)
+            return let(move, lambda x: F.transform(s, lambda v, k: F.when(k == j, x).otherwise(v)))
+
+        return F.aggregate(order, values, step)
+
+    def texts(self, kind: str, tweak: Column, texts: list[tuple[Column, int]]) -> Column:
+        """Strings of digits of their bases, permuted together as one value; the array of new strings, lower case."""
+        parts = let(F.concat(*[_parts(text, base, k) for k, (text, base) in enumerate(texts)]), lambda p: let(
+            self.permute(kind, tweak, F.transform(p, lambda x: x["value"]), F.transform(p, lambda x: x["size"])),
+            lambda new: F.transform(p, lambda x, k: F.struct(x["own"].alias("own"), _written(F.get(new, k), x).alias("t")))))
+        of = lambda p, k: F.array_join(F.transform(F.filter(p, lambda x: x["own"] == k), lambda x: x["t"]), "")
+        return let(parts, lambda p: F.array(*[of(p, k) for k in range(len(texts))]))
+
+    def digits(self, kind: str, text: Column, base: int = 10) -> Column:
+        """A permutation of the strings of one length in the digits of ``base``; lower case. Decimal ones have up to 30 digits:
+        two halves, each moved by all of the other."""
+        if base != 10:
+            return self.texts(kind, F.lit(""), [(text, base)])[0]
+        left = F.floor(F.length(text) / 2).cast("int")
+        right = F.length(text) - left
+        powers = F.array(*[F.lit(10**i).cast("long") for i in range(WIDE[10] + 1)])
+        number = lambda t: F.coalesce(t.cast("long"), F.lit(0).cast("long"))
+        word = lambda n, width: F.when(width > 0, F.lpad(n.cast("string"), width, "0")).otherwise(F.lit(""))
+        new = self.pair(kind, number(F.nullif(F.substring(text, F.lit(1), left), F.lit(""))), number(F.substring(text, left + 1, right)),
+                        F.get(powers, left), F.get(powers, right))
+        return let(new, lambda s: F.concat(word(s["a"], left), word(s["b"], right)))
+
+
+def _parts(text: Column, base: int, own: int) -> Column:
+    """At least two pieces of a string, as numbers below ``size``; ``width`` digits each."""
+    n, powers = F.length(text), F.array(*[F.lit(base**i).cast("long") for i in range(WIDE[base] + 1)])
+    count = F.greatest(F.lit(2), F.ceil(n / WIDE[base]).cast("int"))
+    at = lambda i: F.floor(i * n / count).cast("int")
+
+    def part(i):
+        width = at(i + 1) - at(i)
+        return F.struct(F.lit(own).alias("own"), F.lit(base).alias("base"), width.alias("width"), F.get(powers, width).alias("size"),
+                        F.coalesce(F.conv(F.substring(text, at(i) + 1, width), base, 10).cast("long"), F.lit(0).cast("long")).alias("value"))
+
+    return F.transform(F.sequence(F.lit(0), count - 1), part)
+
+
+def _written(value: Column, part: Column) -> Column:
+    text = lambda base: F.lpad(F.lower(F.conv(value.cast("string"), 10, base)), part["width"], "0")
+    bases = list(WIDE)
+    out = F.when(part["width"] == 0, F.lit(""))
+    for base in bases:
+        out = out.when(part["base"] == base, text(base))
+    return out
 
 
 def _spread(pattern: Column, digits: Column) -> Column:
@@ -126,11 +182,16 @@ def checksum(body: Column) -> Column:
     return F.pmod(-total["n"], F.lit(10)).cast("string")
 
 
-def _walk(start: Column, step, fits, tries: int) -> Column:
-    """The first of step(start), step(step(start)), ... that fits: so a permutation of all values is one of those that fit. Null beyond ``tries``."""
-    out = F.aggregate(F.sequence(F.lit(1), F.lit(tries)), F.struct(start.alias("v"), F.lit(False).alias("done")), lambda s, _: F.when(s["done"], s).otherwise(
+def _walk(start: Column, step, fits) -> Column:
+    """The first of step(start), step(step(start)), ... that fits: so a permutation of all values is one of those that fit.
+
+    One try in twelve or more fits, so ``TRIES`` leave a value without one less often than 1 in 10^200; it takes its first step then and
+    never stays. Steps after the first that fits cost next to nothing.
+    """
+    first = F.struct(start.alias("v"), F.lit(False).alias("done"))
+    out = F.aggregate(F.sequence(F.lit(1), F.lit(TRIES) + F.length(start.cast("string")) * 0), first, lambda s, _: F.when(s["done"], s).otherwise(
         let(step(s["v"]), lambda v: F.struct(v.alias("v"), fits(v).alias("done")))))
-    return let(out, lambda s: F.when(s["done"], s["v"]))
+    return let(out, lambda s: F.when(s["done"], s["v"]).otherwise(step(start)))
 
 
 def _valid_card(d: Column) -> Column:
@@ -154,16 +215,16 @@ def _card_place(m: Column) -> Column:
 def _card(m: Column, place: Column, c: Cipher) -> Column:
     """The card alone. New digits are those that make the same choice of groups, so that it can be turned back."""
     core = F.substring(m, place["start"], place["size"])
-    step = lambda d: let(c.digits("card", F.substring(d, F.lit(1), F.length(d) - 1), 10), lambda b: F.concat(b, checksum(b)))
+    step = lambda d: let(c.digits("card", F.substring(d, F.lit(1), F.length(d) - 1)), lambda b: F.concat(b, checksum(b)))
 
     def fits(d):
         whole = F.concat(F.substring(m, F.lit(1), place["start"] - 1), _spread(core, d), F.substring(m, place["start"] + place["size"], F.length(m)))
-        # Other groupings may read as a phone number where they start with a 0.
-        return let(whole, lambda w: _card_place(w).eqNullSafe(place) & (m.rlike(f"^(?:{GROUPED})$") | (w.startswith("0") == m.startswith("0"))))
+        # Other groupings may read as a phone number or a date in parts.
+        return let(whole, lambda w: _card_place(w).eqNullSafe(place) & (m.rlike(f"^(?:{GROUPED})$") | (F.regexp_extract(w, f"({ANY})", 1) == w)))
 
     def new(d):
         alone = m.rlike("^[0-9]+$")
-        return F.when(alone, step(d)).otherwise(_walk(d, step, fits, 100))
+        return F.when(alone, step(d)).otherwise(_walk(d, step, fits))
 
     return let(let(_only_digits(core), new), lambda d: _spread(core, d))
 
@@ -173,7 +234,7 @@ def _phone(m: Column, c: Cipher) -> Column:
     front = F.when(m.rlike(r"^\+[1-9][0-9]{0,2}[ .(-]"), F.regexp_extract(m, r"^(\+[0-9]+[ .-]?)", 1)) \
         .when(m.startswith("+"), F.regexp_extract(m, rf"^(\+(?:{COUNTRY}))", 1)) \
         .when(m.rlike(rf"^(?:{AREA})$"), F.regexp_extract(m, r"^((?:1[ .-])?)", 1)).otherwise(F.regexp_extract(m, r"^(\(?0)", 1))
-    return let(front, lambda f: let(F.substring(m, F.length(f) + 1, F.length(m)), lambda r: F.concat(f, _spread(r, c.digits("phone", _only_digits(r), 10)))))
+    return let(front, lambda f: let(F.substring(m, F.length(f) + 1, F.length(m)), lambda r: F.concat(f, _spread(r, c.digits("phone", _only_digits(r))))))
 
 
 def _ip(m: Column, c: Cipher) -> Column:
@@ -207,7 +268,7 @@ def _date(m: Column, c: Cipher) -> Column:
             fits = lambda v: ((F.length(month) == 2) | (F.month(on(v)) < 10)) & ((F.length(day) == 2) | (F.dayofmonth(on(v)) < 10)) \
                 & (~turned | (F.dayofmonth(on(v)) > 12))
             free = (F.length(month) == 2) & (F.length(day) == 2) & ~turned
-            return F.when(free, step(n)).otherwise(_walk(n, step, fits, 300))
+            return F.when(free, step(n)).otherwise(_walk(n, step, fits))
 
         def written(d):
             part = lambda form, old: F.lpad(F.date_format(d, form), F.length(old), "0")
@@ -238,17 +299,31 @@ def _ssn(m: Column, c: Cipher) -> Column:
     return let(F.split(m, "-"), of)
 
 
+def _spread_name(pattern: Column, letters: Column, digits: Column) -> Column:
+    """The letters and the digits put in the places of the pattern's, all else kept."""
+    at = lambda text, i: F.substring(text, i, F.lit(1))
+    put = lambda s, t, i, j: F.struct(F.concat(s["t"], t).alias("t"), i.alias("i"), j.alias("j"))
+    out = F.aggregate(F.split(pattern, ""), F.struct(F.lit("").alias("t"), F.lit(1).alias("i"), F.lit(1).alias("j")), lambda s, c: F.when(
+        c.rlike("[A-Za-z]"), put(s, at(letters, s["i"]), s["i"] + 1, s["j"])).when(
+        c.rlike("[0-9]"), put(s, at(digits, s["j"]), s["i"], s["j"] + 1)).otherwise(put(s, c, s["i"], s["j"])))
+    return out["t"]
+
+
 def _email(m: Column, c: Cipher) -> Column:
-    """Runs of letters, as lower case, and of digits are permuted apart; the domain stays."""
-    def run(r):
+    """Letters, as lower case, and digits of the name are permuted together, each in its places, by the whole address's layout; the domain stays."""
+    name = F.substring_index(m, "@", 1)
+    domain = F.substring(m, F.length(name) + 1, F.length(m))
+
+    def block(at):
+        own = F.substring(name, at, F.lit(NAME_BLOCK))
         # Letters as digits of base 26: a-j to 0-9, k-z to a-p.
-        coded = F.translate(F.lower(r), "abcdefghijklmnopqrstuvwxyz", "0123456789abcdefghijklmnop")
-        word = F.translate(c.digits("email", coded, 26), "0123456789abcdefghijklmnop", "abcdefghijklmnopqrstuvwxyz")
-        return F.when(r.rlike("^[A-Za-z]"), word).when(r.rlike("^[0-9]"), c.digits("email", r, 10)).otherwise(r)
+        coded = F.translate(F.regexp_replace(F.lower(own), "[^a-z]", ""), "abcdefghijklmnopqrstuvwxyz", "0123456789abcdefghijklmnop")
+        layout = F.regexp_replace(F.regexp_replace(own, "[A-Za-z]", "a"), "[0-9]", "0")
+        tweak = F.concat_ws("|", F.lower(domain), at.cast("string"), layout)
+        return let(c.texts("email", tweak, [(coded, 26), (_only_digits(own), 10)]), lambda new: _spread_name(
+            own, F.translate(new[0], "0123456789abcdefghijklmnop", "abcdefghijklmnopqrstuvwxyz"), new[1]))
 
-    name = F.substring_index(m, "@", 1)
-    runs = F.regexp_extract_all(name, F.lit("[A-Za-z]+|[0-9]+|[^A-Za-z0-9]+"), F.lit(0))
-    return F.concat(F.array_join(F.transform(runs, run), ""), F.substring(m, F.length(name) + 1, F.length(m)))
+    return F.concat(F.array_join(F.transform(F.sequence(F.lit(1), F.length(name), F.lit(NAME_BLOCK)), block), ""), domain)
 
 
 def _key(m: Column, c: Cipher) -> Column:

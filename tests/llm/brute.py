@@ -144,3 +144,44 @@ def best_pieces(text, table):
 
 def sha(items):
     return hashlib.sha256(",".join(items).encode()).hexdigest()
+
+
+def feistel(key, kind, tweak, texts, rounds=4, wide={10: 15, 16: 12, 26: 10}):
+    """Strings of digits of their bases permuted together, in plain integers: [(text, base)] -> [text]."""
+    import hashlib
+
+    digits = "0123456789abcdefghijklmnop"
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    parts = []
+    for own, (text, base) in enumerate(texts):
+        count = max(2, -(-len(text) // wide[base]))
+        for i in range(count):
+            piece = text[i * len(text) // count : (i + 1) * len(text) // count]
+            parts.append([own, base, len(piece), int(piece, base) if piece else 0])
+    for r in range(rounds * len(parts)):
+        j = r % len(parts)
+        size = parts[j][1] ** parts[j][2]
+        others = "|".join([tweak, *("" if k == j else str(p[3]) for k, p in enumerate(parts))])
+        move = int(sha(f"{key}|o|" + sha(f"{key}|i|{kind}|{r}|{others}|{size}"))[:15], 16)
+        parts[j][3] = (parts[j][3] + move % size) % size
+    out = ["" for _ in texts]
+    for own, base, width, value in parts:
+        word = ""
+        for _ in range(width):
+            word, value = digits[value % base] + word, value // base
+        out[own] += word
+    return out
+
+
+def halves(key, kind, digits, rounds=8):
+    """A decimal string permuted as two halves that move each other, in plain integers."""
+    import hashlib
+
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    left = len(digits) // 2
+    value, width = [int(digits[:left] or 0), int(digits[left:])], [left, len(digits) - left]
+    for r in range(rounds):
+        size = 10 ** width[r % 2]
+        move = int(sha(f"{key}|o|" + sha(f"{key}|i|{kind}|{r}|{value[1 - r % 2]}|{size}"))[:15], 16)
+        value[r % 2] = (value[r % 2] + move % size) % size
+    return "".join(str(v).zfill(w) for v, w in zip(value, width) if w)

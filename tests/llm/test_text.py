@@ -322,3 +322,85 @@ def test_scripts_narrow_candidates():
     model = language.LanguageModel({"aa": ["alpha beta gamma delta"] * 5, "ru": ["привет мир слово дело"] * 5})
     (lang, _, spans), = language.label(model, ["alpha beta gamma слово alpha beta"], switch=1.0)
     assert lang == "aa" and [s["lang"] for s in spans] == ["aa", "ru", "aa"]
+
+
+def sequential_score(scores, switch, path=None):
+    """The score of the best path word by word, or that of a given one."""
+    if path is not None:
+        return sum(scores[t][p] for t, p in enumerate(path)) - switch * sum(a != b for a, b in zip(path, path[1:]))
+    now = list(scores[0])
+    for row in scores[1:]:
+        best = max(now) - switch
+        now = [max(n, best) + s for n, s in zip(now, row)]
+    return max(now)
+
+
+def test_paths_of_many_texts_against_the_word_by_word_recursion():
+    import numpy as np
+
+    rng = np.random.default_rng(11)
+    for k in (2, 4, language.MANY, language.MANY + 3):
+        lengths = [0, 1, 2, 127, 128, 129, 700, 0, 300, 1000, 5]
+        first = np.cumsum([0, *lengths])
+        scores = np.repeat(rng.normal(size=(-(-first[-1] // 9), k)), 9, axis=0)[: first[-1]] * 2 + rng.normal(size=(first[-1], k))
+        for switch in (0.5, 3.0, 8.0):
+            path = language.best_paths(scores, first, switch)
+            for lo, hi in zip(first[:-1], first[1:]):
+                if lo < hi:
+                    own = scores[lo:hi].tolist()
+                    assert abs(sequential_score(own, switch, path[lo:hi].tolist()) - sequential_score(own, switch)) < 1e-6
+                    assert (language.best_path(scores[lo:hi], switch) == path[lo:hi]).all()
+
+
+def test_letters_of_every_plane_are_words():
+    han = "".join(chr(0x30000 + i) for i in range(40))
+    model = language.LanguageModel({"xx": [han * 3], "en": ["alpha beta gamma"] * 5})
+    (lang, score, spans), none = language.label(model, [han + " " + han, "\U000e0041 \U0001f600 12"])
+    assert lang == "xx" and score == 1.0 and [(s["start"], s["end"]) for s in spans] == [(0, 81)] and none[0] == "und"
+
+
+def test_pseudonyms_against_a_plain_feistel(spark):
+    """Whole values are one domain: every digit of the new value hangs on every digit of the old one."""
+    rng = random.Random(13)
+    fill = lambda body: body + next(d for d in "0123456789" if luhn(body + d))
+    cards = [fill("".join(rng.choice("0123456789") for _ in range(n - 1))) for n in (13, 14, 15, 16, 17, 18, 19) for _ in range(3)]
+    keys = ["".join(rng.choice("0123456789abcdef") for _ in range(n)) for n in (32, 40, 47, 64)]
+    mails = [("john", "a.example"), ("john", "b.example"), ("x", "a.example"), ("7up.john_9", "a.example"), ("ab" * 70 + "1", "c.example")]
+    texts = [f"card {c}." for c in cards] + [f"token={k} ." for k in keys] + [f"to {n}@{d} ." for n, d in mails]
+    out = pseudonyms.pseudonymise(frame(spark, list(enumerate(texts))), "k").cache()
+    new = [[v.new for v in r.replaced] for r in out.orderBy("doc_id").collect()]
+    for c, got in zip(cards, new):
+        assert got == [fill(brute.halves("k", "card", c[:-1]))]
+    for k, got in zip(keys, new[len(cards):]):
+        assert got == ["token=" + brute.feistel("k", "key", "", [(k, 16)])[0]]
+    code = str.maketrans("abcdefghijklmnopqrstuvwxyz", "0123456789abcdefghijklmnop")
+    back = {v: k for k, v in code.items()}
+    for (name, domain), (got,) in zip(mails, new[-len(mails):]):
+        want = ""
+        for at in range(0, len(name), 64):
+            own = name[at : at + 64]
+            layout = re.sub("[0-9]", "0", re.sub("[a-z]", "a", own))
+            letters, digits = brute.feistel("k", "email", f"@{domain}|{at + 1}|{layout}", [(re.sub("[^a-z]", "", own).translate(code), 26), (re.sub("[^0-9]", "", own), 10)])
+            letters, digits = iter(letters.translate(back)), iter(digits)
+            want += "".join(next(letters) if ch == "a" else next(digits) if ch == "0" else ch for ch in layout)
+        assert got == f"{want}@{domain}"
+    assert new[-5][0].split("@")[0] != new[-4][0].split("@")[0]
+    assert {r.doc_id: r.text for r in pseudonyms.restore(out.drop("replaced"), "k").collect()} == dict(enumerate(texts))
+
+
+def test_loosely_grouped_cards_never_stay(spark):
+    rng = random.Random(17)
+    texts = []
+    for i in range(3000):
+        body = "".join(rng.choice("0123456789") for _ in range(rng.choice((12, 14, 15, 18))))
+        card = body + next(d for d in "0123456789" if luhn(body + d))
+        texts.append(card[0] + "".join(rng.choice(["", "", " ", "-"]) + d for d in card[1:]))
+    out = pseudonyms.pseudonymise(frame(spark, list(enumerate(texts))), "k").cache()
+    rows = {r.doc_id: r for r in out.collect()}
+    assert all(rows[i].text != t for i, t in enumerate(texts) if rows[i].replaced)
+    # What has no value replaced holds no card in whole groups.
+    for i, t in enumerate(texts):
+        if not rows[i].replaced:
+            groups = re.split("[ -]", t)
+            assert not any(13 <= len(d) <= 19 and luhn(d) for a in range(len(groups)) for b in range(a, len(groups)) for d in ["".join(groups[a : b + 1])]), t
+    assert {r.doc_id: r.text for r in pseudonyms.restore(out.drop("replaced"), "k").collect()} == dict(enumerate(texts))
