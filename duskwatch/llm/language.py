@@ -7,15 +7,18 @@ runs of words are spans; the language with most letters is the text's.
 
 Most texts have one language. That its path is best is shown without the recursion: a path with
 n switches has at most n + 1 runs in other languages, so if no other language gains more than half
-the penalty over any run of words, no number of switches can pay. Only other texts take the
-word-by-word recursion.
+the penalty over any run of words, no number of switches can pay. The other texts of a batch take the
+recursion together, cut into segments that advance side by side.
 
 Training counts, in tasks, the trigrams of a bounded sample of every language: about ``TEXTS``
 texts, chosen by a hash of doc_id, and of a text of more than ``LONGEST`` characters a piece of
 that length.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; a word in a script
-that no learned language has may be any; without a learned language every text is ``und``.
+that no learned language has may be any; without a learned language every text is ``und``. A very
+long text is labelled whole. Of languages with equal scores the first by name is taken. Repeated
+rows get equal results and count as often as they come in training; an empty table gives no rows.
+Only doc_id, text and, in training, lang are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -36,6 +39,8 @@ TEXTS, LONGEST = 1500, 8_000
 CELLS, SMOOTH = 1 << 16, 0.3
 SWITCH = 8.0
 SLICES = 1 << 20
+#: Words that the recursion takes as one segment, and up to how many languages texts are cut into segments.
+SEGMENT, MANY = 128, 16
 #: A language is written in a script that at least this share of its sample's words have.
 SCRIPT_SHARE = 0.01
 
@@ -58,11 +63,11 @@ NAMES = sorted({s for _, s in SCRIPTS})
 @functools.lru_cache(maxsize=1)
 def _characters() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """By code point: is it a letter, its lower case (its first character), its script's number."""
-    every = [chr(c) for c in range(0x30000)]
+    every = [chr(c) for c in range(0x110000)]
     letter = np.array([c.isalpha() for c in every])
     lower = np.array([ord(c.lower()[0]) for c in every], np.uint32)
     starts = np.array([s for s, _ in SCRIPTS])
-    script = np.array([NAMES.index(s) for _, s in SCRIPTS], np.int8)[np.searchsorted(starts, np.arange(0x30000), "right") - 1]
+    script = np.array([NAMES.index(s) for _, s in SCRIPTS], np.int8)[np.searchsorted(starts, np.arange(len(every)), "right") - 1]
     return letter, lower, script
 
 
@@ -72,7 +77,6 @@ class Words:
     def __init__(self, texts: list[str]) -> None:
         letter, lower, script = _characters()
         data = np.frombuffer(" ".join(["", *texts, ""]).encode("utf-32-le", "replace"), np.uint32)
-        data = np.where(data < len(letter), data, 32)  # beyond: rare planes without letters of use here
         is_letter = letter[data]
         self.start = np.flatnonzero(~is_letter[:-1] & is_letter[1:]) + 1
         self.end = np.flatnonzero(is_letter[:-1] & ~is_letter[1:]) + 1
@@ -127,38 +131,88 @@ class LanguageModel:
 
 
 def best_path(scores: np.ndarray, switch: float) -> np.ndarray:
-    """The language of every word: the path of the highest score less ``switch`` for every change; the first of equals."""
-    count, k = scores.shape
-    total = scores.sum(axis=0)
-    main = int(total.argmax())
-    gain = np.cumsum(np.vstack([np.zeros(k), scores - scores[:, main : main + 1]]), axis=0)
-    if (gain - np.minimum.accumulate(gain, axis=0)).max() <= switch / 2:
-        return np.full(count, main)
-    now, came = scores[0].copy(), np.empty((count, k), np.int32)
-    stay = np.arange(k)
-    for t in range(1, count):
-        top = int(now.argmax())
-        move = now[top] - switch > now
-        came[t] = np.where(move, top, stay)
-        now = np.where(move, now[top] - switch, now) + scores[t]
-    out = np.empty(count, np.int64)
-    out[-1] = now.argmax()
-    for t in range(count - 1, 0, -1):
-        out[t - 1] = came[t, out[t]]
+    """The language of every word of one text: the path of the highest score less ``switch`` for every change."""
+    return best_paths(scores, np.array([0, len(scores)]), switch)
+
+
+def best_paths(scores: np.ndarray, first: np.ndarray, switch: float) -> np.ndarray:
+    """The best path of every text; text i has the words ``first[i]`` up to ``first[i + 1]``."""
+    out, mixed = np.empty(len(scores), np.int64), []
+    for lo, hi in zip(first[:-1].tolist(), first[1:].tolist()):
+        if lo == hi:
+            continue
+        own = scores[lo:hi]
+        main = int(own.sum(axis=0).argmax())
+        gain = np.cumsum(np.vstack([np.zeros(own.shape[1]), own - own[:, main : main + 1]]), axis=0)
+        if (gain - np.minimum.accumulate(gain, axis=0)).max() <= switch / 2:
+            out[lo:hi] = main
+        else:
+            mixed.append((lo, hi))
+    if mixed:
+        _recursion(scores, mixed, switch, out)
     return out
 
 
+def _recursion(scores: np.ndarray, texts: list[tuple[int, int]], switch: float, out: np.ndarray) -> None:
+    """Viterbi for many texts at once, into ``out``.
+
+    Texts are cut into segments of ``SEGMENT`` words, and all segments advance together, word by word, once for each
+    language that the word before the segment may have. Chaining these tables gives every segment its first and last
+    language, and all segments are traced back together.
+    """
+    k = scores.shape[1]
+    size = SEGMENT if k <= MANY else len(scores)  # with many languages a text is one segment, and has no word before it
+    cut = [(i, a, min(a + size, hi)) for i, (lo, hi) in enumerate(texts) for a in range(lo, hi, size)]
+    cut.sort(key=lambda c: (c[1] - c[2], c[1]))  # longest first: those still running are always the first ones
+    start, end = np.array([c[1] for c in cut]), np.array([c[2] for c in cut])
+    length = end - start
+    change = np.where(np.eye(k, dtype=bool), 0.0, -switch)[: k if k <= MANY else 1]
+    opens = np.isin(start, [lo for lo, _ in texts])
+    now = np.where(opens[:, None, None], 0.0, change) + scores[start][:, None]
+    stay, came = np.arange(k), []
+    running = np.searchsorted(-length, -np.arange(1, int(length[0])), "left")
+    for t, m in enumerate(running.tolist(), 1):
+        held = now[:m]
+        top = held.argmax(axis=2)[..., None]
+        moved = np.take_along_axis(held, top, 2) - switch
+        move = moved > held
+        came.append(np.where(move, top, stay).astype(np.int16))
+        now[:m] = np.where(move, moved, held) + scores[start[:m] + t][:, None]
+    # Chain the segments of each text, then choose from its end.
+    entered, last = np.zeros(len(cut), np.int64), np.zeros(len(cut), np.int64)
+    chains: dict[int, list[int]] = {}
+    for row in sorted(range(len(cut)), key=lambda r: start[r]):
+        chains.setdefault(cut[row][0], []).append(row)
+    for rows in chains.values():
+        total, sources = now[rows[0], 0], []
+        for row in rows[1:]:
+            through = total[:, None] + now[row]
+            sources.append(through.argmax(axis=0))
+            total = through.max(axis=0)
+        state = int(total.argmax())
+        for row, source in zip(rows[:0:-1], reversed(sources)):
+            last[row], entered[row] = state, source[state]
+            state = int(source[state])
+        last[rows[0]] = state
+    state = last.copy()
+    out[end - 1] = state
+    for t in range(len(running), 0, -1):
+        m = running[t - 1]
+        state[:m] = came[t - 1][np.arange(m), entered[:m], state[:m]]
+        out[start[:m] + t - 1] = state[:m]
+
+
 def label(model: LanguageModel, texts: list[str], switch: float = SWITCH) -> list[tuple[str, float, list[dict]]]:
     """Of each text its language, the share of its letters in it, and its spans in code points."""
     words = Words(texts)
-    scores = model.word_scores(words)
+    paths = best_paths(model.word_scores(words), words.first, switch)
     out = []
     for i in range(len(texts)):
         lo, hi = int(words.first[i]), int(words.first[i + 1])
         if lo == hi:
             out.append(("und", 0.0, []))
             continue
-        path = best_path(scores[lo:hi], switch)
+        path = paths[lo:hi]
         letters = np.bincount(path, weights=words.length[lo:hi], minlength=len(model.languages))
         best = int(letters.argmax())
         cut = np.r_[0, np.flatnonzero(np.diff(path)) + 1, hi - lo]
@@ -172,15 +226,15 @@ def label(model: LanguageModel, texts: list[str], switch: float = SWITCH) -> lis
 def fit(docs: DataFrame, texts: int = TEXTS) -> LanguageModel:
     """Learns from the text and lang of rows that are not held out."""
     own = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    # One row for each language reaches the driver, and the cells that its sample has.
-    counts = own.groupBy("lang").count()
-    share = F.least(F.lit(SLICES), 1 + F.floor(F.lit(texts * SLICES) / F.col("count")))
-    chosen = own.join(counts, "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(SLICES)) < share)
+    # One row for each language reaches the driver, and the cells that its sample has; shares go back as a small table.
+    counts = {r["lang"]: r["count"] for r in own.groupBy("lang").count().collect()}
+    shares = docs.sparkSession.createDataFrame([(lang, min(SLICES, 1 + texts * SLICES // n)) for lang, n in counts.items()], "lang string, share long")
+    chosen = own.join(F.broadcast(shares), "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(SLICES)) < F.col("share"))
     start = 1 + F.pmod(F.xxhash64(F.lit(1), F.col("doc_id")), F.greatest(F.lit(1), F.length("text") - LONGEST + 1))
     small_batches(docs.sparkSession)
     cells = chosen.select("lang", F.substring("text", start.cast("int"), F.lit(LONGEST)).alias("text")).mapInArrow(_count, "lang string, cell int, n long")
     found = cells.groupBy("lang", "cell").agg(F.sum("n").alias("n")).toArrow()
-    learned = {r["lang"]: np.zeros(CELLS + len(NAMES), np.int64) for r in counts.collect()}
+    learned = {lang: np.zeros(CELLS + len(NAMES), np.int64) for lang in counts}
     groups = found.column("lang").combine_chunks().dictionary_encode()
     groups = groups.combine_chunks() if isinstance(groups, pa.ChunkedArray) else groups
     of, cell, n = groups.indices.to_numpy(), found.column("cell").to_numpy(), found.column("n").to_numpy()
