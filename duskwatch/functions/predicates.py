@@ -7,14 +7,16 @@ a rule's ``ne`` / ``not_in`` is true there, a hunt's ``!=`` is false.
 
 from __future__ import annotations
 
+import functools
 import re
+import re._parser as _sre
 from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .fields import field, field_kind, plain_text
+from .fields import FIELDS, field, field_kind, plain_text
 from .ip import in_network, parse_network
 
 RULE_OPS = ("exists", "eq", "ne", "in", "not_in", "contains", "startswith", "endswith",
@@ -73,6 +75,54 @@ def java_regex(pattern: str) -> str:
     return "(?d)" + "".join(out)
 
 
+#: A regex is guarded by its literals only if they are this few.
+GUARDS = 12
+
+
+@functools.lru_cache(maxsize=4096)
+def required_literals(pattern: str) -> tuple[str, ...] | None:
+    """Literals of which every match of the pattern contains one; None where none are known.
+
+    Letters that follow one another, also across word and line edges, form a literal; of the parts of a
+    sequence the one with the longest literals is taken, and alternatives need one of each.
+    """
+    try:
+        tree = _sre.parse(pattern)
+    except (re.error, OverflowError):
+        return None
+    if tree.state.flags & re.IGNORECASE:
+        return None
+    found = _literals(tree)
+    found = found and {x for x in found if not any(y in x for y in found - {x})}
+    return tuple(sorted(found)) if found and len(found) <= GUARDS and min(map(len, found)) > 1 else None
+
+
+def _literals(sequence) -> set[str] | None:
+    options, run = [], ""
+    for op, value in [*sequence, (None, None)]:
+        if op is _sre.LITERAL:
+            run += chr(value)
+            continue
+        if op is _sre.AT:
+            continue
+        if run:
+            options.append({run})
+            run = ""
+        if op is _sre.SUBPATTERN and not value[1] & re.IGNORECASE:
+            options.append(_literals(value[3]))
+        elif op is _sre.BRANCH:
+            parts = [_literals(p) for p in value[1]]
+            options.append(set().union(*parts) if all(parts) else None)
+        elif op in (_sre.MAX_REPEAT, _sre.MIN_REPEAT) and value[0] >= 1:
+            options.append(_literals(value[2]))
+    return max((o for o in options if o), key=lambda o: (min(map(len, o)), -len(o)), default=None)
+
+
+def quoted(text: str) -> str:
+    """A text as a SQL literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def _as_text(value: Any) -> str:
     if isinstance(value, bool):
         return "true" if value else "false"
@@ -95,9 +145,14 @@ def _as_bool(value: Any) -> bool | None:
     return True if value in TRUE_WORDS else False if value in FALSE_WORDS else None
 
 
+def coerced(kind: str, value: Any) -> Any:
+    """The value as one of the field's kind, None where it is none."""
+    return {"string": _as_text, "long": _as_int, "bool": _as_bool}[kind](value)
+
+
 def _equals(column: Column, kind: str, value: Any) -> Column:
     """Typed equality after coercing the wanted value; what cannot coerce never equals."""
-    want = {"string": _as_text, "long": _as_int, "bool": _as_bool}[kind](value)
+    want = coerced(kind, value)
     return F.lit(False) if want is None else column == F.lit(want)
 
 
@@ -127,7 +182,9 @@ def _rule_leaf(name: str, op: str, value: Any) -> Column:
     elif op == "regex":
         pattern = java_regex(_as_text(value))
         if stored is not None:
-            test = (stored != "") & stored.rlike(pattern)
+            literals = required_literals(_as_text(value))
+            held = F.expr(" OR ".join(f"contains({FIELDS[name][1]}, {quoted(x)})" for x in literals)) if literals else stored != ""
+            test = held & stored.rlike(pattern)
         else:
             test = column.rlike(pattern) if kind == "string" else F.lit(False)
     elif op in ("gt", "lt", "ge", "le"):

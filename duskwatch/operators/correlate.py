@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from ..functions.fields import process_key
 from ..schema import micros
 from ..session import materialize
-from .detect import alert_risk, matched_rules
+from .detect import alert_risk
 from .ordered import BUCKET, width_us
+from .rule_index import collected
 
 WINDOW, THRESHOLD = timedelta(seconds=30), 75
 SIGNAL_WINDOW, MIN_HOSTS = timedelta(minutes=5), 3
@@ -38,16 +39,15 @@ def fired_events(df: DataFrame, rules: list[dict]) -> DataFrame:
 
     Also works on a stream.
     """
+    if not rules:
+        none = {"id": "", "severity": "low", "risk_score": 0, "technique": {"id": ""}, "match": {"field": "event.type", "op": "exists"}}
+        return fired_events(df.filter(F.lit(False)), [none])
     default = {"low": 10, "medium": 25, "high": 50, "critical": 80}
     facts = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(r["id"]).alias("rule_id"),
                                F.lit(r["technique"]["id"]).alias("technique_id"),
                                F.lit(r["risk_score"] or default[r["severity"]]).alias("risk"))
                       for i, r in enumerate(rules)])
-    numbers = matched_rules(rules) if rules else F.array().cast("array<int>")
-    # A one-element explode keeps the rule expression evaluated once, in generated code:
-    # what follows refers to its output instead of repeating it.
-    hit = df.withColumn("_all", F.explode(F.array(numbers)))
-    hit = hit.withColumn("_hits", F.array_compact("_all")).filter(F.size("_hits") > 0)
+    hit = collected(df, rules)
     full = F.transform("_hits", lambda i: F.get(facts, i))
     return hit.select(
         F.coalesce("host", F.lit("")).alias("host"), process_key().alias("process_key"), "ts",

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..rules import predicate_of, required_verbs
 from ..schema import SEVERITY_RANK, rank_of
+from .rule_index import exploded
+
+#: Rules whose table (a few hundred bytes each) goes to every executor.
+SENT_RULES = 50_000
 
 TECHNIQUE = T.StructType([T.StructField(n, T.StringType()) for n in ("id", "name", "tactic")])
 RULE = T.StructType([
@@ -28,30 +29,6 @@ def rule_frame(spark: SparkSession, rules: list[dict]) -> DataFrame:
     return spark.createDataFrame(rows, RULE)
 
 
-def matched_rules(rules: list[dict]) -> Column:
-    """Array of matching rule numbers (nulls where a rule did not match).
-
-    Rules are grouped under the verb they need, so an event evaluates only its own
-    verb's predicates, in one pass whatever the number of rules.
-    """
-    by_verb: dict[str, list[Column]] = defaultdict(list)
-    free: list[Column] = []
-    for number, rule in enumerate(rules):
-        hit = F.when(predicate_of(rule), F.lit(number))
-        verbs = required_verbs(rule["match"])
-        if verbs is None:
-            free.append(hit)
-        else:
-            for verb in dict.fromkeys(verbs):
-                by_verb[verb].append(hit)
-    empty = F.array().cast("array<int>")
-    grouped = F.when(F.lit(False), empty)
-    for verb, hits in by_verb.items():
-        grouped = grouped.when(F.col("action") == verb, F.array(*hits))
-    grouped = grouped.otherwise(empty)
-    return F.concat(grouped, F.array(*free)) if free else grouped
-
-
 def detect(df: DataFrame, rules: list[dict]) -> DataFrame:
     """Every rule against every event: event columns plus a ``rule`` struct.
 
@@ -62,10 +39,7 @@ def detect(df: DataFrame, rules: list[dict]) -> DataFrame:
         return df.withColumn("rule", F.lit(None).cast(RULE)).filter(F.lit(False))
     meta = rule_frame(spark, rules)
     meta = meta.select(F.col("ord").alias("_rule"), F.struct(*meta.columns).alias("rule"))
-    # Few events match: what is exploded holds only the numbers of matching rules.
-    hits = df.withColumn("_hits", F.array_compact(matched_rules(rules))).filter(F.size("_hits") > 0)
-    hits = hits.withColumn("_rule", F.explode("_hits")).drop("_hits")
-    return hits.join(meta, "_rule").drop("_rule")
+    return exploded(df, rules).join(F.broadcast(meta) if len(rules) <= SENT_RULES else meta, "_rule").drop("_rule")
 
 
 def alert_risk(rule: str = "rule") -> Column:

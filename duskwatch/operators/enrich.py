@@ -175,6 +175,7 @@ def resolve_evidence(evidence: DataFrame, alerts: DataFrame) -> DataFrame:
 
 def suppress(df: DataFrame, allow: DataFrame) -> DataFrame:
     """Flag alerts whose executable must not be acted on."""
-    listed = allow.select(F.col("executable").alias("_exe"), F.lit(True).alias("_listed")).distinct()
-    joined = lookup_join(df.withColumn("_exe", F.col("process.executable")), listed, ["_exe"])
+    listed = allow.select(F.col("executable").alias("_exe"), F.lit(True).alias("_listed")).filter("_exe <> ''").distinct()
+    # Events without an executable have no key, so they spread over all tasks.
+    joined = lookup_join(df.withColumn("_exe", F.nullif(F.col("process.executable"), F.lit(""))), listed, ["_exe"])
     return joined.withColumn("suppressed", F.coalesce("_listed", F.lit(False))).drop("_exe", "_listed")
