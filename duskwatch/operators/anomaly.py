@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import byte_length, entropy, path_depth
+from .joins import lookup_join
 
 CATEGORIES = ("executable", "parent_child", "user_process", "dest_port")
 FEATURES = 8
@@ -51,14 +52,15 @@ def score_rarity(df: DataFrame, baseline: DataFrame) -> DataFrame:
     """Add ``rarity``: the score of the event's rarest feature, 0 without features.
 
     One lookup per category keeps events in place: where a category's table is small
-    enough for Spark to broadcast there is no shuffle at all.
+    enough for Spark to broadcast there is no shuffle at all. Else hot keys spread over salts
+    and events without the feature over all tasks.
     """
     keys = category_keys()
     scored = df.withColumns({f"_k_{c}": k for c, k in keys.items()})
     for c in CATEGORIES:
         table = (baseline.filter(F.col("category") == c)
                  .select(F.col("key").alias(f"_k_{c}"), F.col("n").alias(f"_n_{c}")))
-        scored = scored.join(table, f"_k_{c}", "left")
+        scored = lookup_join(scored, table, [f"_k_{c}"])
     parts = [F.when(F.col(f"_k_{c}").isNotNull(), rarity(F.col(f"_n_{c}"))).otherwise(F.lit(0.0)) for c in CATEGORIES]
     helpers = [f"_{x}_{c}" for c in CATEGORIES for x in "kn"]
     return scored.withColumn("rarity", F.greatest(*parts)).drop(*helpers)
