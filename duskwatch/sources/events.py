@@ -26,6 +26,12 @@ def stream_events(spark: SparkSession, path: str, files_per_trigger: int = 100)
     return _shape(raw, F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in raw.columns]))))
 
 
+def recorded(df: DataFrame) -> DataFrame:
+    """Events in the recorded form: written as NDJSON, ``read_events`` reads them back whole."""
+    stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("@timestamp")
+    return df.select(stamp, *[f.name for f in EVENT_JSON.fields[1:]])
+
+
 def event_frame(df: DataFrame) -> DataFrame:
     """Any partial event frame completed to the schema and normalized."""
     return normalize(conform(df))

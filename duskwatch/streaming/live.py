@@ -11,6 +11,8 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from ..operators.detect import detect
 from ..operators.export import flatten_alerts
+from ..operators.ordered import width_us
+from ..schema import micros
 from ..sources.sinks import fan_out
 
 
@@ -44,10 +46,39 @@ def rate_stream(df: DataFrame, width: timedelta, delay: str = "10 minutes", ts:
 
 def late_rows(batch: DataFrame, watermark_us: int, ts: str = "ts") -> tuple[DataFrame, DataFrame]:
     """(on time, late) split of a batch against a watermark, for a late-row side output."""
-    late = F.unix_micros(ts) < watermark_us
+    late = F.coalesce(F.unix_micros(ts) < watermark_us, F.lit(False))
     return batch.filter(~late), batch.filter(late)
 
 
+def split_late(events: DataFrame, delay: timedelta, on_time: Callable[[DataFrame], None],
+               late: Callable[[DataFrame], None], checkpoint: str, ts: str = "ts") -> DataStreamWriter:
+    """Rows behind the watermark to ``late``, all others (without a time, too) to ``on_time``.
+
+    The watermark of a batch is the newest time of the batches before it, less ``delay``. It is kept
+    beside the checkpoint as one row per batch, so a batch that runs again after a failure splits as
+    before; a batch whose predecessor left no mark fails rather than guess.
+    """
+    marks, late_us = f"{checkpoint.rstrip('/')}-marks", width_us(delay)
+
+    def run(batch: DataFrame, number: int) -> None:
+        spark, held = batch.sparkSession, batch.persist()
+        try:
+            before = spark.read.parquet(f"{marks}/{number - 1}").first()["newest_us"] if number else None
+            newest = held.agg(F.max(micros(ts))).first()[0]
+            fresh, behind = late_rows(held, before - late_us, ts) if before is not None else (held, held.limit(0))
+            on_time(fresh)
+            late(behind)
+            seen = [us for us in (before, newest) if us is not None]
+            mark = spark.range(1).select(F.lit(max(seen) if seen else None).cast("long").alias("newest_us"))
+            mark.write.mode("overwrite").parquet(f"{marks}/{number}")
+        finally:
+            held.unpersist()
+        old = spark._jvm.org.apache.hadoop.fs.Path(f"{marks}/{number - 2}")
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+
+    return events.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+
+
 def append_once(df: DataFrame, key: str = "seq", delay: str = "1 hour", ts: str = "ts") -> DataFrame:
     """Drop replays of an event within the watermark."""
     return df.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])

@@ -149,28 +149,35 @@ TREE = ("host string, us long, seq long, pid long, parent_name string, parent_ex
 
 
 class _ProcessTree(StatefulProcessor):
-    def __init__(self, depth: int | None):
-        self.depth = depth
+    def __init__(self, depth: int | None, keep_ms: int | None):
+        self.depth, self.keep_ms = depth, keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.live = handle.getMapState("live", "pid long", "ppid long, name string, executable string, start long")
-
-    def _get(self, pid):
-        return self.live.getValue((pid,)) if self.live.containsKey((pid,)) else None
+        entry = "ppid long, name string, executable string, start long"
+        self.live = handle.getMapState("live", "pid long", entry, self.keep_ms)
 
     def handleInputRows(self, key, rows, timerValues):
-        out = []
+        # The entries this batch touches: each is read once and written once.
+        held, changed, out = {}, set(), []
+
+        def entry(pid):
+            if pid not in held:
+                held[pid] = self.live.getValue((pid,)) if self.live.containsKey((pid,)) else None
+            return held[pid]
+
         for row in _in_order(rows).itertuples(index=False):
             if row.action in ("exec", "exec_blocked", "fork"):
                 executable = row.executable if row.action != "fork" else ""
-                self.live.updateValue((row.pid,), (row.ppid, row.name, executable, row.start))
-            elif row.action == "exit" and self.live.containsKey((row.pid,)):
-                self.live.removeKey((row.pid,))
-            parent, own = self._get(row.ppid), self._get(row.pid)
+                held[row.pid] = (row.ppid, row.name, executable, row.start)
+                changed.add(row.pid)
+            elif row.action == "exit":
+                held[row.pid] = None
+                changed.add(row.pid)
+            parent, own = entry(row.ppid), entry(row.pid)
             chain, current, passed = [], row.ppid, {0, row.pid}
             while current not in passed and (self.depth is None or len(chain) < self.depth):
                 passed.add(current)
-                info = self._get(current)
+                info = entry(current)
                 if info is None:
                     break
                 chain.append(info[1])
@@ -178,15 +185,25 @@ class _ProcessTree(StatefulProcessor):
             out.append((key[0], row.us, row.seq, row.pid, parent[1] if parent else row.parent_name,
                         parent[2] if parent else row.parent_executable,
                         own[3] if own and row.start == 0 else row.start, chain or None))
+        # Where entries expire, each one used is written again, so what is in use stays.
+        for pid in changed if self.keep_ms is None else held:
+            if held[pid] is not None:
+                self.live.updateValue((pid,), tuple(held[pid]))
+            elif pid in changed and self.live.containsKey((pid,)):
+                self.live.removeKey((pid,))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in TREE.split(", ")])
 
     def close(self) -> None:
         pass
 
 
-def stream_process_tree(events: DataFrame, depth: int | None = None) -> DataFrame:
+def stream_process_tree(events: DataFrame, depth: int | None = None, keep: timedelta | None = None) -> DataFrame:
     """Parent, start time and ancestry of each event as it arrives, keyed by host.
 
+    With ``keep``, a process that no event of the stream names, as itself or as an ancestor, for
+    that long on the clock is forgotten, so lost exits do not grow the state. Without it every
+    process stays until its exit.
+
     A host's events must be seen in order by one owner of its process table; the batch
     form (``operators.enrich``) has no such limit.
     """
@@ -197,4 +214,6 @@ def stream_process_tree(events: DataFrame, depth: int | None = None) -> DataFram
         number("process.pid").alias("pid"), number("process.ppid").alias("ppid"), text("process.name").alias("name"),
         text("process.executable").alias("executable"), number("process.start_time_ns").alias("start"),
         text("process.parent_name").alias("parent_name"), text("process.parent_executable").alias("parent_executable"))
-    return rows.groupBy("host").transformWithStateInPandas(_ProcessTree(depth), TREE, "Append", "None")
+    keep_ms = None if keep is None else width_us(keep) // 1000
+    return rows.groupBy("host").transformWithStateInPandas(
+        _ProcessTree(depth, keep_ms), TREE, "Append", "None" if keep is None else "ProcessingTime")
