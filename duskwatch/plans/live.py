@@ -72,11 +72,11 @@ def streamed_signals(spark, d):
 
 @query
 def streamed_process_tree(spark, d):
-    """Parent and ancestry of each event as it arrives; what no event names for an hour on the clock is forgotten."""
+    """Parent and ancestry of each event as it arrives; what no event names for sixty days is forgotten."""
     stateful.use_rocksdb(spark)
     shelf = Shelf(spark)
     t = shelf.save(telemetry(spark, d), "events")
-    out = _streamed(t, time_slices(t, SLICES), lambda s: stateful.stream_process_tree(s, keep=timedelta(hours=1)), shelf.folder)
+    out = _streamed(t, time_slices(t, SLICES), lambda s: stateful.stream_process_tree(s, keep=timedelta(days=60)), shelf.folder)
     return out.select("seq", "parent_name", "parent_executable", "start_time_ns",
                       F.coalesce(F.array_join("ancestors", ">"), F.lit("")).alias("chain"))
 

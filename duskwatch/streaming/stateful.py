@@ -31,6 +31,15 @@ def _in_order(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
     return pd.concat(list(rows)).sort_values(["us", "seq"], kind="stable")
 
 
+def _expire(processor, expired, from_us: int) -> None:
+    """Drop a key whose window is over; its one timer moves on where later rows moved the window."""
+    end_ms = (int(from_us) + processor.window_us) // 1000 + 1
+    if end_ms > expired.getExpiryTimeInMs():
+        processor.handle.registerTimer(end_ms)
+    else:
+        processor.state.clear()
+
+
 INCIDENT = ("host string, process_key string, us long, seq long, first_us long, risk_score long, "
             "techniques array<string>, rule_ids array<string>, name string, pid long")
 
@@ -47,7 +56,7 @@ class _Incidents(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         batch, out = _in_order(rows), []
-        held = self.state.get() if self.state.exists() else None
+        held = self.state.get()
         score, first, last, opened, techniques, rules = held if held else (0, None, None, False, [], [])
         techniques, rules = list(techniques), list(rules)
         for row in batch.itertuples(index=False):
@@ -65,13 +74,12 @@ class _Incidents(StatefulProcessor):
                 out.append((key[0], key[1], row.us, row.seq, first, score, sorted(techniques), list(rules),
                             row.name, row.pid))
         self.state.update((score, int(first), int(last), opened, techniques, rules))
-        for old in self.handle.listTimers():
-            self.handle.deleteTimer(old)
-        self.handle.registerTimer((int(last) + self.window_us) // 1000 + 1)
+        if held is None:
+            self.handle.registerTimer((int(last) + self.window_us) // 1000 + 1)
         yield pd.DataFrame(out, columns=[c.split()[0] for c in INCIDENT.split(", ")])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        self.state.clear()
+        _expire(self, expiredTimerInfo, self.state.get()[2])
         yield pd.DataFrame([], columns=[c.split()[0] for c in INCIDENT.split(", ")])
 
     def close(self) -> None:
@@ -102,8 +110,9 @@ class _Signals(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues):
         batch, out = _in_order(rows), []
         first, fired, hosts = None, False, {}
-        if self.state.exists():
-            first, fired, names, seen = self.state.get()
+        held = self.state.get()
+        if held:
+            first, fired, names, seen = held
             hosts = dict(zip(names, seen))
         for row in batch.itertuples(index=False):
             if first is None or row.us - first > self.window_us:
@@ -116,13 +125,12 @@ class _Signals(StatefulProcessor):
                 fired = True
                 out.append((key[0], key[1], sorted(hosts), first, row.us, row.seq))
         self.state.update((int(first), fired, list(hosts), [int(s) for s in hosts.values()]))
-        for old in self.handle.listTimers():
-            self.handle.deleteTimer(old)
-        self.handle.registerTimer((int(first) + self.window_us) // 1000 + 1)
+        if held is None:
+            self.handle.registerTimer((int(first) + self.window_us) // 1000 + 1)
         yield pd.DataFrame(out, columns=[c.split()[0] for c in SIGNAL.split(", ")])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        self.state.clear()
+        _expire(self, expiredTimerInfo, self.state.get()[0])
         yield pd.DataFrame([], columns=[c.split()[0] for c in SIGNAL.split(", ")])
 
     def close(self) -> None:
@@ -148,36 +156,40 @@ TREE = ("host string, us long, seq long, pid long, parent_name string, parent_ex
         "start_time_ns long, ancestors array<string>")
 
 
+TABLE = ("pids array<long>, ppids array<long>, names array<string>, executables array<string>, starts array<long>, "
+         "used array<long>")
+
+
 class _ProcessTree(StatefulProcessor):
-    def __init__(self, depth: int | None, keep_ms: int | None):
-        self.depth, self.keep_ms = depth, keep_ms
+    def __init__(self, depth: int | None, keep_us: int | None):
+        self.depth, self.keep_us = depth, keep_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        entry = "ppid long, name string, executable string, start long"
-        self.live = handle.getMapState("live", "pid long", entry, self.keep_ms)
+        # A host's whole table as one value: one read and one write a batch, not one a process.
+        self.live = handle.getValueState("live", TABLE)
 
     def handleInputRows(self, key, rows, timerValues):
-        # The entries this batch touches: each is read once and written once.
-        held, changed, out = {}, set(), []
+        stored, out = self.live.get(), []
+        table = {pid: entry for pid, *entry in zip(*stored)} if stored else {}
+        batch = _in_order(rows)
 
-        def entry(pid):
-            if pid not in held:
-                held[pid] = self.live.getValue((pid,)) if self.live.containsKey((pid,)) else None
-            return held[pid]
+        def entry(pid, us):
+            found = table.get(pid)
+            if found:
+                found[4] = max(found[4], us)
+            return found
 
-        for row in _in_order(rows).itertuples(index=False):
+        for row in batch.itertuples(index=False):
             if row.action in ("exec", "exec_blocked", "fork"):
                 executable = row.executable if row.action != "fork" else ""
-                held[row.pid] = (row.ppid, row.name, executable, row.start)
-                changed.add(row.pid)
+                table[row.pid] = [row.ppid, row.name, executable, row.start, row.us]
             elif row.action == "exit":
-                held[row.pid] = None
-                changed.add(row.pid)
-            parent, own = entry(row.ppid), entry(row.pid)
+                table.pop(row.pid, None)
+            parent, own = entry(row.ppid, row.us), entry(row.pid, row.us)
             chain, current, passed = [], row.ppid, {0, row.pid}
             while current not in passed and (self.depth is None or len(chain) < self.depth):
                 passed.add(current)
-                info = entry(current)
+                info = entry(current, row.us)
                 if info is None:
                     break
                 chain.append(info[1])
@@ -185,12 +197,11 @@ class _ProcessTree(StatefulProcessor):
             out.append((key[0], row.us, row.seq, row.pid, parent[1] if parent else row.parent_name,
                         parent[2] if parent else row.parent_executable,
                         own[3] if own and row.start == 0 else row.start, chain or None))
-        # Where entries expire, each one used is written again, so what is in use stays.
-        for pid in changed if self.keep_ms is None else held:
-            if held[pid] is not None:
-                self.live.updateValue((pid,), tuple(held[pid]))
-            elif pid in changed and self.live.containsKey((pid,)):
-                self.live.removeKey((pid,))
+        if self.keep_us is not None:
+            newest = max((e[4] for e in table.values()), default=0)
+            table = {pid: e for pid, e in table.items() if newest - e[4] <= self.keep_us}
+        columns = zip(*[(pid, *e) for pid, e in table.items()]) if table else [()] * 6
+        self.live.update(tuple([v.item() if hasattr(v, "item") else v for v in c] for c in columns))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in TREE.split(", ")])
 
     def close(self) -> None:
@@ -200,9 +211,9 @@ class _ProcessTree(StatefulProcessor):
 def stream_process_tree(events: DataFrame, depth: int | None = None, keep: timedelta | None = None) -> DataFrame:
     """Parent, start time and ancestry of each event as it arrives, keyed by host.
 
-    With ``keep``, a process that no event of the stream names, as itself or as an ancestor, for
-    that long on the clock is forgotten, so lost exits do not grow the state. Without it every
-    process stays until its exit.
+    With ``keep``, a process that no event has named for that long before the newest use of its
+    host's table, as itself or as an ancestor, is forgotten at the end of a batch, so lost exits do
+    not grow the state. Without it every process stays until its exit.
 
     A host's events must be seen in order by one owner of its process table; the batch
     form (``operators.enrich``) has no such limit.
@@ -214,6 +225,5 @@ def stream_process_tree(events: DataFrame, depth: int | None = None, keep: timed
         number("process.pid").alias("pid"), number("process.ppid").alias("ppid"), text("process.name").alias("name"),
         text("process.executable").alias("executable"), number("process.start_time_ns").alias("start"),
         text("process.parent_name").alias("parent_name"), text("process.parent_executable").alias("parent_executable"))
-    keep_ms = None if keep is None else width_us(keep) // 1000
-    return rows.groupBy("host").transformWithStateInPandas(
-        _ProcessTree(depth, keep_ms), TREE, "Append", "None" if keep is None else "ProcessingTime")
+    keep_us = None if keep is None else width_us(keep)
+    return rows.groupBy("host").transformWithStateInPandas(_ProcessTree(depth, keep_us), TREE, "Append", "None")
