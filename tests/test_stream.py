@@ -7,7 +7,7 @@ from duskwatch.operators import correlate, enrich, export
 from duskwatch.operators.detect import detect
 from duskwatch.rules import builtin_rules
 from duskwatch.schema import EVENT, micros
-from duskwatch.streaming import live, stateful
+from duskwatch.streaming import live, replay, stateful
 
 from test_ordered import stream
 
@@ -68,12 +68,72 @@ def test_process_tree_as_it_grows(spark, make, tmp_path):
         assert (r.parent_name, r.start_time_ns, r.ancestors) == (want[r.seq].p, want[r.seq].s, want[r.seq].a)
 
 
-def test_replay_equals_batch_with_a_rule_swap_and_a_bad_sink(spark, make, tmp_path):
+def test_replay_with_a_rule_swap(spark, make, tmp_path):
+    df = noisy(make, 40)
+    # Both sets fire on these events: each holds every second of the rules that do.
+    firing = sorted(r.id for r in detect(df, RULES).selectExpr("rule.id").distinct().collect())
+    old, new = ([r for r in RULES if r["id"] in firing[i::2]] for i in (0, 1))
+    assert old and new
+    current, out, parts = [], str(tmp_path / "swapped"), replay.even_slices(df, F.col("seq"), 2)
+    replay.replay(df, parts, str(tmp_path / "swap"), lambda s: live.detect_stream(
+        s, lambda: current[0], [lambda b: b.write.mode("append").parquet(out)], str(tmp_path / "swap_c")),
+        lambda n: current.__setitem__(slice(None), [new if n else old]))
+    want = export.flatten_alerts(detect(df.filter("seq < 20"), old)).unionByName(export.flatten_alerts(detect(df.filter("seq >= 20"), new)))
+    got = spark.read.parquet(out)
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    # The swap shows: neither rule set alone gives these rows.
+    for rules in (old, new):
+        assert not export.flatten_alerts(detect(df, rules)).exceptAll(got).isEmpty()
+
+
+def test_late_rows_are_a_second_output(spark, make, tmp_path):
+    times = [0, 100, 400, 30, 350, 380, 10, 500]
+    df = make([{"action": "exec", "at": at, "seq": i} for i, at in enumerate(times)]).select("seq", "ts")
+    df = df.unionByName(df.limit(1).select(F.lit(8).cast("long").alias("seq"), F.lit(None).cast("timestamp").alias("ts")))
+    kept, rows = [], []
+    collect = lambda into: lambda part: into.extend(r.seq for r in part.collect())
+    replay.replay(df, F.floor(F.col("seq") / 3).cast("int"), str(tmp_path), lambda s: live.split_late(
+        s, timedelta(seconds=60), collect(kept), collect(rows), str(tmp_path / "c")))
+    # The mark after rows 0 to 2 is 340 s; each slice ran as a query of its own from the checkpoint.
+    assert sorted(rows) == [3, 6] and sorted(kept) == [0, 1, 2, 4, 5, 7, 8]
+
+
+def test_replay_of_an_empty_table(spark, make, tmp_path):
+    df = make([{"action": "exec"}]).select("seq", "ts").filter("seq < 0")
+    kept = []
+    replay.replay(df, replay.time_slices(df, 3), str(tmp_path), lambda s: live.split_late(
+        s, timedelta(seconds=60), lambda part: kept.extend(part.collect()), lambda part: None, str(tmp_path / "c")))
+    assert kept == []
+
+
+def test_lost_exits_do_not_grow_the_process_tree():
+    class Held:
+        value = None
+        get = lambda self: self.value
+        def update(self, value):
+            self.value = value
+
+    processor = stateful._ProcessTree(None, 10_000_000)
+    processor.live, sizes = Held(), []
+    import pandas as pd
+
+    for n in range(50):
+        # One process a second that never exits, all children of process 1.
+        rows = pd.DataFrame([{"us": n * 1_000_000, "seq": n, "action": "exec", "pid": 100 + n, "ppid": 1, "name": "x", "executable": "/x",
+                              "start": 1, "parent_name": "", "parent_executable": ""}])
+        if n == 0:
+            rows = pd.concat([rows.assign(pid=1, ppid=0, name="init"), rows])
+        (out,) = processor.handleInputRows(("h",), iter([rows]), None)
+        assert out["parent_name"].iloc[-1] == "init"
+        sizes.append(len(processor.live.value[0]))
+    assert max(sizes) == 12 and sizes[-1] == 12 and 1 in processor.live.value[0]
+
+
+def test_replay_equals_batch(spark, make, tmp_path):
     df = noisy(make, 40)
     source = slices(spark, df, str(tmp_path / "d"), 2)
-    versions = iter([RULES, RULES])
     out = str(tmp_path / "alerts")
-    live.run_available(live.detect_stream(source, lambda: next(versions), [lambda b: b.write.mode("append").parquet(out)], str(tmp_path / "c")))
+    live.run_available(live.detect_stream(source, lambda: RULES, [lambda b: b.write.mode("append").parquet(out)], str(tmp_path / "c")))
     want = export.flatten_alerts(detect(df, RULES))
     got = spark.read.parquet(out)
     assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
