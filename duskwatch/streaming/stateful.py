@@ -42,44 +42,66 @@ def _expire(processor, expired, from_us: int) -> None:
 
 INCIDENT = ("host string, process_key string, us long, seq long, first_us long, risk_score long, "
             "techniques array<string>, rule_ids array<string>, name string, pid long")
+#: Keys share state by hash: a call to the state store costs far more than a session does.
+BUCKETS = 1024
+SESSIONS = ("hosts array<string>, keys array<string>, scores array<long>, firsts array<long>, lasts array<long>, "
+            "opened array<boolean>, techniques array<array<string>>, rule_ids array<array<string>>")
 
 
 class _Incidents(StatefulProcessor):
-    def __init__(self, window_us: int, threshold: int):
-        self.window_us, self.threshold = window_us, threshold
+    def __init__(self, window_us: int, threshold: int, facts: list[tuple[str, str]]):
+        self.window_us, self.threshold, self.facts = window_us, threshold, facts
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState(
-            "session", "score long, first_us long, last_us long, opened boolean, "
-                       "techniques array<string>, rule_ids array<string>")
+        # All open sessions of a bucket as one value: one read and one write a batch, not one a process.
+        self.state = handle.getValueState("sessions", SESSIONS)
+
+    def _end_ms(self, session: list) -> int:
+        return (session[2] + self.window_us) // 1000 + 1
+
+    def _hold(self, sessions: dict, timer: bool) -> None:
+        """Store the sessions; ``timer`` if the bucket has none, which is for the first that ends."""
+        if not sessions:
+            return self.state.clear()
+        if timer:
+            self.handle.registerTimer(min(map(self._end_ms, sessions.values())))
+        hosts, keys = zip(*sessions)
+        self.state.update((list(hosts), list(keys), *(list(c) for c in zip(*sessions.values()))))
+
+    def _held(self) -> dict | None:
+        stored = self.state.get()
+        return {(host, key): values for host, key, *values in zip(*stored)} if stored else None
 
     def handleInputRows(self, key, rows, timerValues):
         batch, out = _in_order(rows), []
-        held = self.state.get()
-        score, first, last, opened, techniques, rules = held if held else (0, None, None, False, [], [])
-        techniques, rules = list(techniques), list(rules)
-        for row in batch.itertuples(index=False):
-            if last is None or row.us - last > self.window_us:
-                score, first, opened, techniques, rules = 0, row.us, False, [], []
-            score += int(row.risk)
-            for fired in row.fired:
-                if fired["technique_id"] and fired["technique_id"] not in techniques:
-                    techniques.append(fired["technique_id"])
-                if fired["rule_id"] not in rules:
-                    rules.append(fired["rule_id"])
-            last = row.us
-            if not opened and score >= self.threshold:
-                opened = True
-                out.append((key[0], key[1], row.us, row.seq, first, score, sorted(techniques), list(rules),
-                            row.name, row.pid))
-        self.state.update((score, int(first), int(last), opened, techniques, rules))
-        if held is None:
-            self.handle.registerTimer((int(last) + self.window_us) // 1000 + 1)
+        held = self._held()
+        sessions = held or {}
+        columns = ("host", "process_key", "us", "seq", "risk", "ords", "name", "pid")
+        for host, process, us, seq, risk, ords, name, pid in zip(*(batch[c].tolist() for c in columns)):
+            session = sessions.get((host, process))
+            if session is None or us - session[2] > self.window_us:
+                session = sessions[host, process] = [0, us, us, False, [], []]
+            session[2] = us
+            # What comes after the incident only keeps the session going.
+            if session[3]:
+                continue
+            session[0] += risk
+            techniques, rules = session[4], session[5]
+            for rule, technique in (self.facts[i] for i in ords):
+                if technique and technique not in techniques:
+                    techniques.append(technique)
+                if rule not in rules:
+                    rules.append(rule)
+            if session[0] >= self.threshold:
+                out.append((host, process, us, seq, session[1], session[0], sorted(techniques), rules, name, pid))
+                session[3:] = [True, [], []]
+        self._hold(sessions, held is None)
         yield pd.DataFrame(out, columns=[c.split()[0] for c in INCIDENT.split(", ")])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        _expire(self, expiredTimerInfo, self.state.get()[2])
+        now = timerValues.getCurrentWatermarkInMs()
+        self._hold({k: s for k, s in (self._held() or {}).items() if self._end_ms(s) > now}, True)
         yield pd.DataFrame([], columns=[c.split()[0] for c in INCIDENT.split(", ")])
 
     def close(self) -> None:
@@ -87,11 +109,17 @@ class _Incidents(StatefulProcessor):
 
 
 def stream_incidents(events: DataFrame, rules: list[dict], window: timedelta = WINDOW, threshold: int = THRESHOLD,
-                     delay: str = "1 minute") -> DataFrame:
-    """Incidents emitted at the event that crosses the threshold."""
+                     delay: str = "1 minute", buckets: int = BUCKETS) -> DataFrame:
+    """Incidents emitted at the event that crosses the threshold.
+
+    The open sessions of one of ``buckets`` hash groups of processes, and its rows of a micro-batch, fit one task.
+    """
     risky = fired_events(events.withWatermark("ts", delay), rules)
-    return (risky.groupBy("host", "process_key").transformWithStateInPandas(
-        _Incidents(width_us(window), threshold), INCIDENT,
+    rows = risky.withColumns({"ords": F.transform("fired", lambda f: f["ord"]),
+                              "bucket": F.pmod(F.xxhash64("host", "process_key"), F.lit(buckets))}).drop("fired")
+    facts = [(r["id"], r["technique"]["id"]) for r in rules]
+    return (rows.groupBy("bucket").transformWithStateInPandas(
+        _Incidents(width_us(window), threshold, facts), INCIDENT,
         "Append", "EventTime"))
 
 

@@ -48,6 +48,49 @@ def test_incidents_as_they_happen(spark, make, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count() > 1
 
 
+def test_sessions_of_many_processes_share_state_calls():
+    class Held:
+        value, calls = None, 0
+
+        def get(self):
+            self.calls += 1
+            return self.value
+
+        def update(self, value):
+            self.calls, self.value = self.calls + 1, value
+
+        def clear(self):
+            self.calls, self.value = self.calls + 1, None
+
+    class Timers(list):
+        registerTimer = list.append
+
+    class Mark:
+        def __init__(self, ms):
+            self.getCurrentWatermarkInMs = lambda: ms
+
+    import pandas as pd
+
+    processor = stateful._Incidents(10_000_000, 50, [("R0", "T0"), ("R1", "")])
+    processor.state, processor.handle = Held(), Timers()
+
+    def run(first, at):
+        rows = [{"host": "h", "process_key": f"{n}:1", "us": at * 1_000_000 + n, "seq": n, "risk": 30, "ords": [0, 1], "name": "x", "pid": n}
+                for n in range(first, 300)]
+        (out,) = processor.handleInputRows((0,), iter([pd.DataFrame(rows)]), None)
+        return list(out.itertuples(index=False, name=None))
+
+    assert run(0, 0) == [] and processor.state.calls == 2 and processor.handle == [10_001]
+    # Half of the processes cross; a third row of one after its incident tells nothing new.
+    want = [("h", f"{n}:1", 5_000_000 + n, n, n, 60, ["T0"], ["R0", "R1"], "x", n) for n in range(150, 300)]
+    assert run(150, 5) == want and run(150, 6) == [] and processor.state.calls == 6 and len(processor.handle) == 1
+    # At 10.001 s only what saw its last row at 0 s goes, and the next timer is for the first of the rest.
+    list(processor.handleExpiredTimer((0,), Mark(10_001), None))
+    assert [k for k in processor.state.value[1]] == [f"{n}:1" for n in range(150, 300)] and processor.handle[1:] == [16_001]
+    list(processor.handleExpiredTimer((0,), Mark(20_000), None))
+    assert processor.state.value is None and len(processor.handle) == 2
+
+
 def test_signals_as_they_happen(spark, make, tmp_path):
     df = noisy(make)
     records = export.flatten_alerts(detect(df, RULES))
