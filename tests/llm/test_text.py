@@ -243,6 +243,28 @@ def test_license_notices_in_blocks(spark):
     assert got[9114].spans[0]["at"] == 2
 
 
+def test_license_unknown_class_is_the_whole_corpus(spark):
+    plate = "the license plate of car {} was blue"
+    long = "nobody saw the train in the station again\n\n" * 1000
+    rows = [(i, plate.format(i % 150)) for i in range(600)] + [(1000, long + plate.format("x")), (1001, "license"), (1002, "Released under the MIT License"), (1003, "no such word")]
+    got = {r.line: (r.label, r.weight, r.back) for r in licenses._unknown(licenses.paragraphs(frame(spark, rows))).collect()}
+    assert {line: w for line, (_, w, _) in got.items()} == {**{plate.format(i): 4.0 for i in range(150)}, plate.format("x"): 1.0, "license": 1.0}
+    assert 10 < sum(b for _, _, b in got.values()) < 60 and {label for label, _, _ in got.values()} == {0.0}
+
+
+def test_license_chance_is_an_exact_rank(spark):
+    from pyspark.ml.functions import array_to_vector
+
+    class Model:
+        transform = staticmethod(lambda df: df.withColumn("probability", array_to_vector(F.array(1 - F.col("p"), F.col("p")))))
+
+    # Rank 998 of 1000 by weight; neighbours differ by less than one in ten thousand.
+    ps = [0.7 + i * 1e-8 for i in range(10)] + [0.1]
+    back = spark.createDataFrame([(p, w) for p, w in zip(ps, [1.0] * 10 + [990.0])], "p double, weight double")
+    assert abs(licenses.calibrate(back, Model) - ps[7]) < 1e-10
+    assert licenses.calibrate(back.filter("p < 0"), Model) == 0.5 and licenses.calibrate(back.filter("p = 0.1"), Model) == 0.5
+
+
 def test_quality_classifier(spark, edge, nothing):
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
