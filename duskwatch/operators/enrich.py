@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from datetime import timedelta
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import Shelf
 from .joins import lookup_join
 from .ordered import BUCKET, nearest, time_bucket
 
@@ -70,32 +71,34 @@ def with_start(df: DataFrame, bucket: timedelta = BUCKET) -> DataFrame:
 def ancestry(df: DataFrame, depth: int | None = None, bucket: timedelta = BUCKET) -> DataFrame:
     """(host, seq, ancestors): process names up the parent chain as of each event.
 
-    One as-of lookup per level over rows that are still climbing; each level is cut with
-    a reliable checkpoint and the climb stops when no row is left. A chain ends where it comes
+    One as-of lookup per level over rows that are still climbing, against the updates of the
+    processes they ask for; each level is one table in the shared folder that carries the chain
+    so far, and the climb stops when no row is left. A chain ends where it comes
     back to a process it has passed (reused process numbers can close a ring); ``depth`` asks
     for the nearest ancestors only.
     """
-    updates = materialize(lifecycle(df))
-    frontier = df.select("host", "ts", "seq", F.coalesce("process.pid", F.lit(0)).alias("_own"),
-                         F.coalesce("process.ppid", F.lit(0)).alias("_pid"))
-    frontier = frontier.withColumn("_passed", F.array("_own"))
-    levels, level = [], -1
-    while depth is None or level + 1 < depth:
+    shelf = Shelf(df.sparkSession)
+    updates = shelf.save(lifecycle(df), "updates")
+    moving = (F.col("_pid") != 0) & ~F.array_contains("_passed", F.col("_pid"))
+    frontier = df.select("host", "ts", "seq", F.coalesce("process.ppid", F.lit(0)).alias("_pid"),
+                         F.array(F.coalesce("process.pid", F.lit(0))).alias("_passed"), F.array().cast("array<string>").alias("ancestors"))
+    ended, level = [], 0
+    while depth is None or level < depth:
+        frontier = frontier.filter(moving)
+        asked = frontier.select(F.coalesce("host", F.lit("")).alias("_host"), "_pid").distinct()
+        hit = process_as_of(frontier, updates.join(asked, ["_host", "_pid"], "left_semi"), "_up", bucket)
+        # A row without an entry has a null ``_pid``: it ends with the chain it came with.
+        frontier = shelf.save(hit.select(
+            "host", "ts", "seq", F.col("_up.ppid").alias("_pid"), F.array_append("_passed", F.col("_pid")).alias("_passed"),
+            F.when(F.col("_up").isNull(), F.col("ancestors")).otherwise(F.array_append("ancestors", F.col("_up.name"))).alias("ancestors")), f"level-{level}")
+        ended.append(frontier.filter(~F.coalesce(moving, F.lit(False)) & (F.size("ancestors") > 0)).select("host", "seq", "ancestors"))
         level += 1
-        frontier = frontier.filter((F.col("_pid") != 0) & ~F.array_contains("_passed", F.col("_pid")))
-        hit = materialize(process_as_of(frontier, updates, "_up", bucket).filter("_up is not null"))
-        if hit.isEmpty():
+        if frontier.filter(moving).isEmpty():
             break
-        levels.append(hit.select("host", "seq", F.lit(level).alias("level"), F.col("_up.name").alias("name")))
-        frontier = hit.select("host", "ts", "seq", F.col("_up.ppid").alias("_pid"), F.array_append("_passed", F.col("_pid")).alias("_passed"))
-    if not levels:
-        return df.select("host", "seq", F.array().cast("array<string>").alias("ancestors")).filter(F.lit(False))
-    steps = levels[0]
-    for more in levels[1:]:
-        steps = steps.unionByName(more)
-    # One row per ancestor of an event.
-    return steps.groupBy("host", "seq").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("level", "name"))), lambda s: s["name"]).alias("ancestors"))
+    else:
+        ended.append(frontier.filter(moving & (F.size("ancestors") > 0)).select("host", "seq", "ancestors"))
+    # Repeated events share one chain, by a shuffle that a join by event uses again.
+    return reduce(DataFrame.unionByName, ended).groupBy("host", "seq").agg(F.max_by("ancestors", F.size("ancestors")).alias("ancestors"))
 
 
 def with_ancestry(df: DataFrame, depth: int | None = None, bucket: timedelta = BUCKET) -> DataFrame:

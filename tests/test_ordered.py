@@ -57,6 +57,27 @@ def test_process_tree(make, seed, bucket):
     assert got == want
 
 
+def test_ancestry_looks_up_only_processes_asked_for(make, spark, monkeypatch):
+    """A level reads the updates of the processes its rows ask for; a repeated event has one chain."""
+    sizes, lookup = [], enrich.process_as_of
+
+    def counted(probes, updates, *rest):
+        sizes.append((probes.count(), updates.count()))
+        return lookup(probes, updates, *rest)
+
+    monkeypatch.setattr(enrich, "process_as_of", counted)
+    # Process n is a child of n - 1; then an event of process 3 twice and one of process 1.
+    rows = [{"host": "h", "action": "exec", "process.pid": n, "process.ppid": n - 1, "process.name": f"p{n}", "at": n, "seq": n} for n in range(1, 9)]
+    rows += [{"host": "h", "action": "open", "process.pid": p, "process.ppid": p - 1, "at": 20, "seq": 10 + p} for p in (3, 3, 1)]
+    events = make(rows).filter("seq < 4 or seq > 10 or seq = 8")
+    got = {r.seq: r.ancestors for r in enrich.ancestry(events).collect()}
+    assert got == {2: ["p1"], 3: ["p2", "p1"], 13: ["p2", "p1"]} and len(got) == enrich.ancestry(events).count()
+    # Asked for: 1, 2 and 7 (which has no update), then 1.
+    assert sizes[:2] == [(5, 2), (3, 1)] and len(sizes) == 4
+    near = {r.seq: r.ancestors for r in enrich.ancestry(events, 1).collect()}
+    assert near == {2: ["p1"], 3: ["p2"], 13: ["p2"]} and enrich.ancestry(events, 0).count() == 0
+
+
 @pytest.mark.parametrize("seed, bucket, gap", [(4, 3, 30), (5, 20, 10), (6, 10_000, 5)])
 def test_incidents(make, spark, seed, bucket, gap):
     rng = random.Random(seed)
